@@ -96,7 +96,28 @@ from r
 """
 
 
+def op6() -> str:
+    from caselode.llm.secret_scan import BASE, RULES
+
+    parts = []
+    for k, (kind, pattern, _, group, least) in enumerate(RULES):
+        rx = pattern.replace("'", "''")
+        parts.append(f"""select r, {k} as ord, '{kind}' as kind, s as start, s + length(hit) as stop from (
+  select r, hits[i] as hit, parts[i] as part,
+         cast(list_sum(list_transform(gaps[1:i], lambda g: length(g))) + coalesce(list_sum(list_transform(hits[1:i - 1], lambda h: length(h))), 0) as bigint) as s
+  from (select *, unnest(range(1, len(hits) + 1)) as i from (
+    select r, regexp_extract_all(text, '{rx}') as hits, regexp_extract_all(text, '{rx}', {group}) as parts, string_split_regex(text, '{rx}') as gaps from d)))
+where length(part) >= {least}""")
+    found = "\nunion all ".join(parts)
+    listing = "coalesce(string_agg(kind || ':' || start || ':' || stop, ',' order by start, ord, stop)"
+    counted = ", ".join(f"count(*) filter (kind = '{r[0]}') as n_{r[0]}" for r in RULES[:BASE])
+    return f"""with d as (select row_number() over () as r, doc_id, coalesce(text, '') as text from documents),
+f as ({found})
+select doc_id, {counted}, sha256({listing} filter (ord < {BASE}), '')) as base_sha256, {listing}, '') as spans
+from d left join f using (r) group by r, doc_id"""
+
+
 def sql() -> dict[str, str]:
     from caselode.llm.url_reputation import TWO_LABEL_SUFFIXES
 
-    return {"op2_decontaminate": OP2, "op7_mix_sources": OP7, "op10_url_reputation": OP10.replace("{suffixes}", str(TWO_LABEL_SUFFIXES))}
+    return {"op2_decontaminate": OP2, "op6_secrets": op6(), "op7_mix_sources": OP7, "op10_url_reputation": OP10.replace("{suffixes}", str(TWO_LABEL_SUFFIXES))}

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caselode.llm import decontaminate, mixing, quality_bands, url_reputation
+from caselode.llm import decontaminate, mixing, pii, quality_bands, secret_scan, url_reputation
+from caselode.llm import spans as S
+from caselode.llm.shared import checkpointed
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +21,29 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "n_words", "n_hit", "n_items", digest.alias("items_sha256"), "contaminated")
 
 
+def counts(spans: str, kinds: list[str]) -> list:
+    def numbered(k):
+        return lambda s: s["ord"] == k
+
+    return [F.size(F.filter(spans, numbered(k))).cast("long").alias(f"n_{kind}") for k, kind in enumerate(kinds)]
+
+
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts are read once: their candidates are few and small, and are checkpointed for fitting and selecting."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = checkpointed(pii.find_candidates(docs).drop("text"))
+    got = pii.select(found, pii.fit(found))
+    base = S.spelled(F.col("base_spans"), pii.KINDS)
+    return got.select("doc_id", *counts("base_spans", pii.KINDS[: pii.BASE]), F.sha2(base, 256).alias("base_sha256"), S.spelled(F.col("spans"), pii.KINDS).alias("spans"))
+
+
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = secret_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    kinds = secret_scan.kinds()
+    base = S.spelled(F.col("base_spans"), kinds)
+    return got.select("doc_id", *counts("base_spans", kinds[: secret_scan.BASE]), F.sha2(base, 256).alias("base_sha256"), S.spelled(F.col("spans"), kinds).alias("spans"))
+
+
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     taken, _ = mixing.mix(table(spark, sf_dir, "documents"))
     return taken.select(F.col("key").alias("doc_id"), "size", "source_size", "target", "taken")
@@ -38,4 +63,4 @@ def op10_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("page_id", "host", "path", "rule", "verdict")
 
 
-QUERIES = {f.__name__: f for f in (op2_decontaminate, op7_mix_sources, op8_quality_bands, op10_url_reputation)}
+QUERIES = {f.__name__: f for f in (op2_decontaminate, op5_pii, op6_secrets, op7_mix_sources, op8_quality_bands, op10_url_reputation)}
