@@ -187,3 +187,29 @@ def per_text(flags: np.ndarray, borders: np.ndarray) -> np.ndarray:
     total = np.zeros(len(flags) + 1, dtype=np.int64)
     np.cumsum(flags, out=total[1:])
     return np.diff(total[borders])
+
+
+def runs(batches, n_keys: int):
+    """The groups of rows that agree in the first n_keys columns, which the rows are sorted by.
+
+    A group may span batches; one group at a time is held.
+    """
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(n_keys)]
+        change = np.zeros(batch.num_rows - 1, dtype=bool)
+        for k in keys:
+            change |= k[1:] != k[:-1]
+        cuts = [0, *(np.flatnonzero(change) + 1).tolist(), batch.num_rows]
+        for a, b in zip(cuts, cuts[1:]):
+            key = tuple(k[a] for k in keys)
+            if held and key != last:
+                yield pa.Table.from_batches(held).combine_chunks()
+                held = []
+            held.append(batch.slice(a, b - a))
+            last = key
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()

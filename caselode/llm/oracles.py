@@ -26,6 +26,17 @@ select doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(n_hit, 0) as big
 from d left join hw using (r) left join hi using (r)
 """
 
+OP4 = r"""
+with d as (select row_number() over () as r, doc_id, regexp_extract_all(coalesce(text, ''), '[^ \t-\r]+') as w from documents),
+e as (select r, doc_id, s, array_to_string(w[s : s + 12], ' ') as k from (select *, unnest(range(1, len(w) - 11)) as s from d where len(w) >= 13)),
+f as (select k, min(doc_id) as first from e group by k),
+g as (select r, unnest(range(s, s + 13)) as p from e join f using (k) where doc_id > first),
+h as (select r, list(distinct p) as gone from g group by r)
+select doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(len(gone), 0) as bigint) as n_removed,
+       sha256(coalesce(array_to_string(case when gone is null then w else list_transform(list_filter(list_zip(w, range(1, len(w) + 1)), lambda x: not list_contains(gone, x[2])), lambda x: x[1]) end, ' '), '')) as kept_sha256
+from d left join h using (r)
+"""
+
 OP7 = r"""
 with s as (
   select doc_id, coalesce('0' || source, '1') as skey, cast(coalesce(len(regexp_extract_all(text, '[^ \t-\r]+')), 0) as bigint) as size from documents),
@@ -48,6 +59,23 @@ select doc_id, size, source_size, target,
 from b join t using (skey)
 """
 
+OP9 = rf"""
+with recursive d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^ \t-\r]+') as w from documents),
+s as (
+  select distinct doc_id, k from (
+    select doc_id, array_to_string(w[i : i + 2], ' ') as k from (select *, unnest(range(1, len(w) - 1)) as i from d where len(w) >= 3)
+    union all select doc_id, array_to_string(w, ' ') from d where len(w) between 1 and 2)),
+n as (select doc_id, count(*) as n from s group by doc_id),
+l as (
+  select p.a, p.b from (select x.doc_id as a, y.doc_id as b, count(*) as c from s x join s y using (k) where x.doc_id < y.doc_id group by 1, 2) p
+  join n na on na.doc_id = a join n nb on nb.doc_id = b where 100 * c >= 85 * (na.n + nb.n - c)),
+u as (select a, b from l union all select b, a from l),
+t as (select doc_id as node, doc_id as to_node from d union select t.node, u.b from t join u on t.to_node = u.a),
+m as (select node, min(to_node) as component_id from t group by node)
+select d.doc_id, coalesce(n.n, 0)::bigint as n_shingles, component_id, d.doc_id = component_id as kept
+from d join m on m.node = d.doc_id left join n on n.doc_id = d.doc_id
+"""
+
 OP10 = rf"""
 with u as (
   select page_id,
@@ -120,4 +148,4 @@ from d left join f using (r) group by r, doc_id"""
 def sql() -> dict[str, str]:
     from caselode.llm.url_reputation import TWO_LABEL_SUFFIXES
 
-    return {"op2_decontaminate": OP2, "op6_secrets": op6(), "op7_mix_sources": OP7, "op10_url_reputation": OP10.replace("{suffixes}", str(TWO_LABEL_SUFFIXES))}
+    return {"op2_decontaminate": OP2, "op4_substring_dedup": OP4, "op6_secrets": op6(), "op7_mix_sources": OP7, "op9_minhash": OP9, "op10_url_reputation": OP10.replace("{suffixes}", str(TWO_LABEL_SUFFIXES))}

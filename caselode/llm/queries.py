@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caselode.llm import decontaminate, mixing, pii, quality_bands, secret_scan, url_reputation
+from caselode.llm import decontaminate, minhash_dedup, mixing, pii, quality_bands, secret_scan, substring_dedup, url_reputation
 from caselode.llm import spans as S
 from caselode.llm.shared import checkpointed
 
@@ -21,6 +21,11 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "n_words", "n_hit", "n_items", digest.alias("items_sha256"), "contaminated")
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return got.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def counts(spans: str, kinds: list[str]) -> list:
     def numbered(k):
         return lambda s: s["ord"] == k
@@ -54,6 +59,11 @@ def op8_quality_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.drop("text")
 
 
+def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = minhash_dedup.group(table(spark, sf_dir, "documents"), shingle=3, percent=85)
+    return got.withColumnRenamed("id", "doc_id")
+
+
 def op10_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labels are by id: a page's outcome is bad where the label of its id says low quality or toxic."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
@@ -63,4 +73,4 @@ def op10_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("page_id", "host", "path", "rule", "verdict")
 
 
-QUERIES = {f.__name__: f for f in (op2_decontaminate, op5_pii, op6_secrets, op7_mix_sources, op8_quality_bands, op10_url_reputation)}
+QUERIES = {f.__name__: f for f in (op2_decontaminate, op4_substring_dedup, op5_pii, op6_secrets, op7_mix_sources, op8_quality_bands, op9_minhash, op10_url_reputation)}
