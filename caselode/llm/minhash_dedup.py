@@ -225,7 +225,7 @@ def deduplicate(docs: DataFrame, text: str = "text", key: str = "doc_id", **opti
     """``docs`` with one document of each component, the one with the smallest id; repeated rows once."""
     own = docs.columns
     kept = group(docs, text, key, **options).where("kept").select(F.col("id").alias("__dedup_id")).distinct()
-    return docs.join(kept, F.col(key) == F.col("__dedup_id"), "left_semi").select(*own).dropDuplicates([key])
+    return docs.join(kept, F.col(key).cast("long").eqNullSafe(F.col("__dedup_id")), "left_semi").withColumn("__dedup_text", F.xxhash64(text)).dropDuplicates([key, "__dedup_text"]).select(*own)
 
 
 K.ship(sys.modules[__name__])

@@ -139,3 +139,14 @@ def mix_sized(spark: SparkSession, sized: DataFrame, weights=WEIGHTS, share: flo
     empty = sized.where("size = 0").select("key", "skey", "size", F.lit(0).cast("long").alias("taken"))
     taken = taken.select("key", "skey", "size", "taken").unionByName(empty)
     return taken.join(per.select("skey", "source_size", "target"), "skey"), plan
+
+
+def take(docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", **options) -> DataFrame:
+    """The rows of ``docs`` of which the mixture takes words, with mix_size, mix_target and mix_taken.
+
+    Rows with the same key have the same hash, and are told apart by size; equal rows may swap.
+    """
+    taken, _ = mix(docs, text, source, key, **options)
+    per = taken.where("taken > 0").groupBy("key", "skey", "size").agg(F.max("target").alias("target"), F.max("taken").alias("taken"))
+    on = F.col(key).eqNullSafe(F.col("key")) & (source_key(F.col(source)) == F.col("skey")) & (size_of(F.col(text)) == F.col("size"))
+    return docs.join(per, on).select(*docs.columns, F.col("size").alias("mix_size"), F.col("target").alias("mix_target"), F.col("taken").alias("mix_taken"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caselode.llm import decontaminate, minhash_dedup, mixing, pii, quality_bands, secret_scan, substring_dedup, url_reputation
+from caselode.llm import decontaminate, language_id, minhash_dedup, mixing, pii, quality_bands, quote_links, secret_scan, substring_dedup, url_reputation
 from caselode.llm import spans as S
 from caselode.llm.shared import checkpointed
 
@@ -14,6 +14,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quote_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = quote_links.relink(table(spark, sf_dir, "conversations"))
+    return got.select("conv_id", "turn", "role", "reply_to", "root", "depth", "max_level", "n_linked", F.sha2("said", 256).alias("said_sha256"))
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     got = decontaminate.scan(docs, table(spark, sf_dir, "benchmark"))
@@ -21,6 +26,13 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "n_words", "n_hit", "n_items", digest.alias("items_sha256"), "contaminated")
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
+    training = language_id.fit(docs, "text", "lang", ~held_out)
+    return language_id.predict(docs.select("doc_id", "text"), training).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
     return got.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
@@ -73,4 +85,4 @@ def op10_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("page_id", "host", "path", "rule", "verdict")
 
 
-QUERIES = {f.__name__: f for f in (op2_decontaminate, op4_substring_dedup, op5_pii, op6_secrets, op7_mix_sources, op8_quality_bands, op9_minhash, op10_url_reputation)}
+QUERIES = {f.__name__: f for f in (op1_quote_links, op2_decontaminate, op3_language_id, op4_substring_dedup, op5_pii, op6_secrets, op7_mix_sources, op8_quality_bands, op9_minhash, op10_url_reputation)}
