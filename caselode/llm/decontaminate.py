@@ -132,6 +132,18 @@ def item_blocks(bench: DataFrame, item_id: str, text: str, block_chars: int) ->
     return [sorted((r["id"], r["text"]) for r in rows.where(part == i).collect()) for i in range(n)]
 
 
+def united(spans):
+    """Sorted spans with overlapping ones made one."""
+    none = F.array().cast("array<struct<start:int,end:int>>")
+
+    def step(acc, s):
+        last = F.try_element_at(acc, F.lit(-1))
+        grown = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"))))
+        return F.when((F.size(acc) > 0) & (s["start"] <= last["end"]), grown).otherwise(F.concat(acc, F.array(s)))
+
+    return F.aggregate(spans, none, step)
+
+
 def scan(docs: DataFrame, bench: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", *, window: int = WINDOW, min_items: int = MIN_ITEMS, block_chars: int = BLOCK_CHARS, prefix: str = "") -> DataFrame:
     """``docs`` with n_words, hit_words, items, spans, n_hit, n_items, contaminated (named with ``prefix``).
 
@@ -155,6 +167,7 @@ def scan(docs: DataFrame, bench: DataFrame, text: str = "text", item_id: str = "
     merged = [groups[0][1], groups[0][2], groups[0][3]]
     if len(groups) > 1:
         merged = [F.array_sort(F.array_distinct(F.flatten(F.array(*[g[k] for g in groups])))) for k in (1, 2, 3)]
+        merged[2] = united(merged[2])
     cols = [F.col(f"c{i}").alias(name) for i, name in enumerate(own)]
     named = {"n_words": n_words, "hit_words": merged[0], "items": merged[1], "spans": merged[2], "n_hit": F.size(merged[0]).cast("long"), "n_items": F.size(merged[1]).cast("long"), "contaminated": F.size(merged[1]) >= min_items}
     return out.select(*cols, *[c.alias(prefix + n) for n, c in named.items()])
