@@ -16,6 +16,7 @@ from caselode.functions.weighting import DOCUMENT, QUERY
 from caselode.operators.index import Index
 
 SMALL = 100_000
+BANDS = 1024
 
 
 def if_small(df: DataFrame, most: int = SMALL) -> DataFrame:
@@ -40,15 +41,27 @@ def fold(scores: DataFrame, content: float = fixed.CONTENT_SHARE, title: float =
 
 
 def rank(folded: DataFrame, digits: int | None = None, k: int | None = None) -> DataFrame:
-    """(query_id, rank, document_id, score), rank from 0 per query; ``digits`` rounds first, ``k`` keeps the first only."""
+    """(query_id, rank, document_id, score), rank from 0 per query; ``digits`` rounds first, ``k`` keeps the first only.
+
+    A first-k ranking is cut before its shuffle.  A full one numbers the rows of ``BANDS`` equal score
+    bands per query and adds the sizes of the bands above, so that one query with very many hits
+    is not sorted in one task.
+    """
     score = F.col("score") if digits is None else F.round("score", digits)
-    best = F.col("best.zone_doc_id")
-    order = W.partitionBy("query_id").orderBy(F.desc("score"), F.desc("tie_score"), F.desc("tie_zone"))
     tie = F.col("best.zscore") if digits is None else F.round("best.zscore", digits)
-    out = folded.select("query_id", "document_id", score.alias("score"), tie.alias("tie_score"), best.alias("tie_zone")).withColumn("place", F.row_number().over(order))
+    rows = folded.select("query_id", "document_id", score.alias("score"), tie.alias("tie_score"), F.col("best.zone_doc_id").alias("tie_zone"))
+    order = [F.desc("score"), F.desc("tie_score"), F.desc("tie_zone")]
     if k is not None:
-        out = out.where(F.col("place") <= k)
-    return out.select("query_id", (F.col("place") - 1).cast("bigint").alias("rank"), "document_id", "score")
+        out = rows.withColumn("place", F.row_number().over(W.partitionBy("query_id").orderBy(*order))).where(F.col("place") <= k)
+        return out.select("query_id", (F.col("place") - 1).cast("bigint").alias("rank"), "document_id", "score")
+    ends = rows.groupBy("query_id").agg(F.max("score").alias("high"), F.min("score").alias("low"))
+    part = (F.col("high") - F.col("score")) / (F.col("high") - F.col("low")) * (BANDS - 1)
+    banded = rows.join(ends, "query_id").withColumn("band", F.when(F.col("high") > F.col("low"), F.floor(part)).otherwise(0))
+    sizes = banded.groupBy("query_id", "band").agg(F.count(F.lit(1)).alias("n"))
+    above = sizes.select("query_id", "band", (F.sum("n").over(W.partitionBy("query_id").orderBy("band")) - F.col("n")).alias("above"))
+    inside = F.row_number().over(W.partitionBy("query_id", "band").orderBy(*order)) - 1
+    out = banded.withColumn("inside", inside).join(above, ["query_id", "band"])
+    return out.select("query_id", (F.col("above") + F.col("inside")).cast("bigint").alias("rank"), "document_id", "score")
 
 
 def best_zones(scores: DataFrame, k: int = fixed.FEEDBACK_ZONES) -> DataFrame:
