@@ -38,7 +38,8 @@ from caselode.llm.graph import components
 from caselode.llm.shared import checkpointed
 
 SHINGLE, PERCENT = 5, 80
-SKETCH, LISTED, BLOCK = 64, 20, 256
+SKETCH, LISTED, BLOCK = 64, 20, 512
+PAD = np.uint32(0xFFFFFFFF)
 SIGNATURE = "id long, n long, c1 long, c2 long, sketch binary"
 
 
@@ -77,7 +78,7 @@ def sign_batches(batches, k):
                 total = np.zeros(len(h) + 1, dtype=np.uint64)
                 np.cumsum(K.mix(h ^ np.uint64(salt)), out=total[1:])
                 sums.append((total[at[1:]] - total[at[:-1]]).astype(np.int64))
-            top = (h >> np.uint64(32)).astype(np.uint32)
+            top = np.minimum(h >> np.uint64(32), np.uint64(0xFFFFFFFE)).astype(np.uint32)  # the last value pads
             sketch = [top[a : min(b, a + SKETCH)].tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
             yield pa.RecordBatch.from_arrays([ids.slice(s.lo, len(s)), pa.array(n, pa.int64()), pa.array(sums[0]), pa.array(sums[1]), pa.array(sketch, pa.binary())], names=["id", "n", "c1", "c2", "sketch"])
 
@@ -114,8 +115,22 @@ def least_shared(percent: int, k: int) -> int:
     return int(k * p - 4.9 * (k * p * (1 - p)) ** 0.5)
 
 
+def union_shared(one: np.ndarray, others: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(shared, size) of the union's SKETCH smallest values, of one padded sketch with each of others."""
+    merged = np.sort(np.concatenate([np.broadcast_to(one, others.shape), others], axis=1), axis=1)
+    real = merged != PAD
+    twice = np.zeros(merged.shape, dtype=bool)
+    twice[:, 1:] = (merged[:, 1:] == merged[:, :-1]) & real[:, 1:]
+    place = np.cumsum(real & ~twice, axis=1)
+    return (twice & (place <= SKETCH)).sum(axis=1), np.minimum(place[:, -1], SKETCH)
+
+
 def filter_batches(batches, percent):
-    """In each (key, bi, bj) group: the members that have a candidate whose smallest common key is this one."""
+    """In each (key, bi, bj) group: the members that have a candidate whose smallest common key is this one.
+
+    Two members that are marked already meet in the next step anyway, so only pairs that would mark
+    somebody are looked at: a dense group costs little more than its size.
+    """
     enough = least_shared(percent, SKETCH)
     for group in K.runs(batches, 3):
         count = group.num_rows
@@ -124,28 +139,50 @@ def filter_batches(batches, percent):
         key, bi, bj = (group.column(c)[0].as_py() for c in range(3))
         block, size = group.column(3).to_numpy(), group.column(5).to_numpy()
         rows = [np.frombuffer(x, np.uint32) for x in group.column(6).to_pylist()]
-        flat, ids = np.unique(np.concatenate(rows), return_inverse=True)
-        cuts = np.concatenate([[0], np.cumsum([len(r) for r in rows])])
-        marked = np.zeros(count, dtype=bool)
+        padded = np.full((count, SKETCH), PAD, dtype=np.uint32)
+        for i, r in enumerate(rows):
+            padded[i, : len(r)] = r
+        flat, ids = np.unique(padded, return_inverse=True)
+        ids = ids.reshape(padded.shape)
         table = np.zeros(len(flat), dtype=bool)
+        smaller = [k[k < key] for k in map(list_keys, rows)]
+        keys, key_ids = np.unique(np.concatenate(smaller), return_inverse=True)
+        key_cuts = np.concatenate([[0], np.cumsum([len(k) for k in smaller])])
+        key_table = np.zeros(len(keys), dtype=bool)
+        marked = np.zeros(count, dtype=bool)
         for i, js in pairs_in(count, block, bi != bj, size, percent):
-            own = ids[cuts[i] : cuts[i + 1]]
+            if marked[i]:
+                js = js[~marked[js]]
+                if not len(js):
+                    continue
+            own = ids[i, : len(rows[i])]
             table[own] = True
-            shared = np.add.reduceat(table[ids], cuts[:-1])[js]
+            shared = table[ids[js]].sum(axis=1)
             table[own] = False
             union = np.minimum(size[i] + size[js] - shared, SKETCH)
-            need = np.where(union < SKETCH, (percent * union + 99) // 100, enough)
-            for j in js[shared >= need]:
-                a, b = rows[i], rows[j]
-                union_sketch = np.union1d(a, b)[:SKETCH]
-                common = np.intersect1d(a, b, assume_unique=True)
-                held = np.searchsorted(common, union_sketch[-1], side="right")
-                floor = enough if len(union_sketch) == SKETCH else (percent * len(union_sketch)) // 100
-                if held >= floor and np.intersect1d(list_keys(a), list_keys(b)).min(initial=np.iinfo(np.int64).max) == key:
-                    marked[i] = marked[j] = True
+            js = js[shared >= np.where(union < SKETCH, (percent * union + 99) // 100, enough)]
+            if not len(js):
+                continue
+            own = key_ids[key_cuts[i] : key_cuts[i + 1]]
+            key_table[own] = True
+            total = np.concatenate([[0], np.cumsum(key_table[key_ids])])
+            key_table[own] = False
+            js = js[total[key_cuts[js + 1]] == total[key_cuts[js]]]
+            if not len(js):
+                continue
+            held, width = union_shared(padded[i], padded[js])
+            js = js[held >= np.where(width == SKETCH, enough, (percent * width) // 100)]
+            if len(js):
+                marked[i] = True
+                marked[js] = True
         if marked.any():
             at = pa.array(np.flatnonzero(marked))
-            yield pa.RecordBatch.from_arrays([group.column(c).combine_chunks().take(at) if isinstance(group.column(c), pa.ChunkedArray) else group.column(c).take(at) for c in (0, 1, 2, 3, 4)], names=["key", "bi", "bj", "block", "id"])
+            yield pa.RecordBatch.from_arrays([flat_column(group, c).take(at) for c in (0, 1, 2, 3, 4)], names=["key", "bi", "bj", "block", "id"])
+
+
+def flat_column(table: pa.Table, c: int) -> pa.Array:
+    column = table.column(c)
+    return column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
 
 
 def verify_batches(batches, k, percent):
@@ -163,26 +200,21 @@ def verify_batches(batches, k, percent):
         cuts = np.concatenate([[0], np.cumsum(size)])
         table = np.zeros(len(flat) + 1, dtype=bool)
         ids = np.append(ids, len(flat))  # reduceat needs an element after the last border
-        root = list(range(count))
-
-        def find(x):
-            while root[x] != x:
-                root[x] = root[root[x]]
-                x = root[x]
-            return x
-
+        part = np.arange(count)  # the component of each member, as linked so far
         links = []
         for i, js in pairs_in(count, block, bi != bj, size, percent):
+            js = js[part[js] != part[i]]
+            if not len(js):
+                continue
             own = ids[cuts[i] : cuts[i + 1]]
             table[own] = True
             total = np.concatenate([[0], np.cumsum(table[ids])])
             table[own] = False
             shared = total[cuts[js + 1]] - total[cuts[js]]
-            for j in js[(shared > 0) & (100 * shared >= percent * (size[i] + size[js] - shared))]:
-                a, b = find(i), find(int(j))
-                if a != b:
-                    root[a] = b
-                    links.append((node[i], node[j]))
+            hits = js[(shared > 0) & (100 * shared >= percent * (size[i] + size[js] - shared))]
+            for other, at in zip(*np.unique(part[hits], return_index=True)):
+                links.append((node[i], node[hits[at]]))
+                part[part == other] = part[i]
         if links:
             yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in links], pa.int64()), pa.array([b for _, b in links], pa.int64())], names=["a", "b"])
 
