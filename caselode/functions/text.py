@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import sys
+
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -146,3 +149,6 @@ def stem(term: Column) -> Column:
         return words.map(lambda w: None if w is None else porter(w))
 
     return stems(term)
+
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need no copy of the package
