@@ -10,6 +10,8 @@ prefix sums make the hash of any byte or word range two lookups.
 
 from __future__ import annotations
 
+import sys
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -213,3 +215,6 @@ def runs(batches, n_keys: int):
             last = key
     if held:
         yield pa.Table.from_batches(held).combine_chunks()
+
+
+ship(sys.modules[__name__])

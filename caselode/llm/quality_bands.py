@@ -146,5 +146,4 @@ def keep(docs: DataFrame, text: str = "text", **options) -> DataFrame:
     return judged.where(F.col(mark + "kept")).drop(*[mark + name for name, _ in FIELDS])
 
 
-K.ship(K)
 K.ship(sys.modules[__name__])
