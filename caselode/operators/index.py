@@ -55,8 +55,11 @@ def postings(toks: DataFrame, positions: bool = True) -> DataFrame:
 
 
 def dictionary(posts: DataFrame) -> DataFrame:
-    """(term, df): the zones that hold each term."""
-    return posts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    """(term, df): the zones that hold each term.
+
+    It reads tf, so that both uses of unsaved postings are one and the same shuffle, made once.
+    """
+    return posts.groupBy("term").agg(F.sum(F.when(F.col("tf") > 0, 1).otherwise(0)).cast("long").alias("df"))
 
 
 def doc_lengths(zoned: DataFrame, posts: DataFrame) -> DataFrame:

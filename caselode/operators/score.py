@@ -35,9 +35,15 @@ def zone_scores(terms: DataFrame, posts: DataFrame, words: DataFrame, n: DataFra
 
 
 def fold(scores: DataFrame, content: float = fixed.CONTENT_SHARE, title: float = fixed.TITLE_SHARE) -> DataFrame:
-    """(query_id, document_id, score, best): zones weighed into documents; best breaks ties by the better zone."""
-    share = F.when(F.col("zone") == "c", content).otherwise(title)
-    return scores.groupBy("query_id", "document_id").agg(F.sum(share * F.col("zscore")).alias("score"), F.max(F.struct("zscore", "zone_doc_id")).alias("best"))
+    """(query_id, document_id, score, best): zones weighed into documents; best breaks ties by the better zone.
+
+    A document has a content and a title zone at the most, so both are plain maxima, which hash
+    aggregation can hold (a maximum of structs would be sorted for); of equal zones the title is the later id.
+    """
+    by_zone = scores.groupBy("query_id", "document_id").agg(F.max(F.when(F.col("zone") == "c", F.col("zscore"))).alias("c"), F.max(F.when(F.col("zone") == "t", F.col("zscore"))).alias("t"))
+    in_title = F.col("c").isNull() | F.coalesce(F.col("t") >= F.col("c"), F.lit(False))
+    best = F.struct(F.when(in_title, F.col("t")).otherwise(F.col("c")).alias("zscore"), F.concat(F.col("document_id"), F.when(in_title, ".t").otherwise(".c")).alias("zone_doc_id"))
+    return by_zone.select("query_id", "document_id", (F.lit(content) * F.coalesce("c", F.lit(0.0)) + F.lit(title) * F.coalesce("t", F.lit(0.0))).alias("score"), best.alias("best"))
 
 
 def rank(folded: DataFrame, digits: int | None = None, k: int | None = None) -> DataFrame:
