@@ -8,8 +8,8 @@ the first again, so a pass repeats only when the source is used up).  The last s
 cut so that the source gets its target to the word.
 
 Native: DataFrame functions only.  Nothing runs over a source in one task: prefix sums and ranks are
-made in two levels, inside hash-range chunks of about ``CHUNK_ROWS`` rows and over the chunks'
-totals, so a source with a third of all rows is spread over as many tasks as the others.
+made in two levels, inside hash-range chunks (one for every ``CHUNK_ROWS`` rows of the table) and
+over the chunks' totals, so a source with a third of all rows spreads over all tasks.
 
 Defined cases: null and empty texts have size 0 and are never taken; the null source is a source,
 last in order; equal rows are interchangeable; an empty table gives an empty schedule; extra columns
@@ -27,7 +27,7 @@ from caselode.llm.shared import checkpointed
 #: Weights of the sources in order, repeating; words to take as a share of all; most repeats.
 WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2
 GOLDEN = 0.6180339887498949
-CHUNK_ROWS = 50_000
+CHUNK_ROWS = 5_000
 LARGEST_BLOCK, BLOCKS = 1024, 65536
 WORD = r"[^ \t-\r]+"
 
@@ -62,16 +62,18 @@ def targets(sized: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int =
     return per.withColumn("free", free).select("skey", "source_size", "source_rows", "weight", F.when(F.col("capped"), F.col("cap")).otherwise(F.col("free.level") * F.col("weight")).alias("target"))
 
 
-def shuffled(sized: DataFrame, per_source: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
-    """(all columns of sized, begin): each row's first word in its source's shuffled stream."""
+def shuffled(sized: DataFrame, chunks: int) -> DataFrame:
+    """(all columns of sized, begin): each row's first word in its source's shuffled stream.
+
+    chunks: into how many hash ranges each source is cut; no source meets in one task.
+    """
     draw = F.md5(F.coalesce(F.col("key").cast("string"), F.lit("")))
-    chunks = per_source.select("skey", F.ceil(F.col("source_rows") / chunk_rows).alias("chunks"))
     point = F.conv(F.substring("draw", 1, 8), 16, 10).cast("long")
-    rows = sized.withColumn("draw", draw).join(chunks, "skey").withColumn("chunk", F.floor(point * F.col("chunks") / F.lit(1 << 32)))
+    rows = sized.withColumn("draw", draw).withColumn("chunk", F.floor(point * chunks / F.lit(1 << 32)))
     totals = rows.groupBy("skey", "chunk").agg(F.sum("size").alias("words"))
     base = totals.select("skey", "chunk", (F.sum("words").over(W.partitionBy("skey").orderBy("chunk")) - F.col("words")).alias("base"))
     inside = W.partitionBy("skey", "chunk").orderBy("draw", "size").rowsBetween(W.unboundedPreceding, 0)
-    return rows.withColumn("inside", F.sum("size").over(inside) - F.col("size")).join(base, ["skey", "chunk"]).withColumn("begin", F.col("base") + F.col("inside")).drop("draw", "chunks", "chunk", "inside", "base")
+    return rows.withColumn("inside", F.sum("size").over(inside) - F.col("size")).join(base, ["skey", "chunk"]).withColumn("begin", F.col("base") + F.col("inside")).drop("draw", "chunk", "inside", "base")
 
 
 def block_words(total: int) -> int:
@@ -124,11 +126,12 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", key: str =
 
 def mix_sized(spark: SparkSession, sized: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST, chunk_rows: int = CHUNK_ROWS) -> tuple[DataFrame, DataFrame]:
     per = checkpointed(targets(sized, weights, share, most))  # a row per source
-    total = int(per.agg(F.sum("source_size").alias("n")).first()["n"] or 0)
+    whole = per.agg(F.sum("source_size").alias("words"), F.sum("source_rows").alias("rows")).first()
+    total, rows = int(whole["words"] or 0), int(whole["rows"] or 0)
     words = block_words(total)
     plan = schedule(spark, per, total, words, share)
     uses = plan.groupBy("skey", "block").agg(F.collect_list("words").alias("cuts"))  # one cut a pass: bounded by ``most``
-    stream = shuffled(sized.where("size > 0"), per.select("skey", "source_rows"), chunk_rows)
+    stream = shuffled(sized.where("size > 0"), rows // chunk_rows + 1)
     last = F.floor((F.col("begin") + F.col("size") - 1) / words)
     pieces = stream.withColumn("piece", F.explode(F.sequence(F.floor(F.col("begin") / words), last)))
     lo = F.greatest(F.col("begin"), F.col("piece") * words) - F.col("piece") * words
