@@ -13,7 +13,7 @@ from caselode.sources import corpus
 
 
 def zoned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = corpus.spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source"))
     return index.zones(index.searchable(corpus.cases_from_documents(docs)))
 
 

@@ -11,6 +11,17 @@ from caselode.functions import fixed
 CSV_SCHEMA = "document_id string, title string, content string, date_posted string, court string"
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt out to all cores where its files have fewer splits than those.
+
+    One small file is one task however many cores there are; a large input has more splits than
+    cores and is left where it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    splits = df._jdf.queryExecution().toRdd().getNumPartitions()
+    return df.repartition(cores) if splits < cores else df
+
+
 def read_cases(spark: SparkSession, path: str) -> DataFrame:
     """Case files: quoted fields may hold line breaks and doubled quotes; empty fields are empty strings."""
     raw = spark.read.schema(CSV_SCHEMA).option("header", True).option("enforceSchema", True).option("multiLine", True).option("quote", '"').option("escape", '"').option("encoding", "UTF-8").csv(path)
