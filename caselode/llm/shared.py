@@ -3,21 +3,43 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 
+#: Delete a query's shuffle files when it ends, rather than when the driver's collector finds it gone.
+CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df``, computed once into ``spark.checkpoint.dir``; survives the loss of any executor.
 
-    Only a local session without that setting gets a folder of its own.
-    """
+def folder(df: DataFrame) -> str:
+    """The session's checkpoint folder.  Only a local session without that setting gets one of its own."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        folder = sc.getConf().get("spark.checkpoint.dir") or df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not folder:
+        named = sc.getConf().get("spark.checkpoint.dir") or df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named:
             if not sc.master.startswith("local"):
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            folder = tempfile.mkdtemp(prefix="checkpoints-")
-        sc.setCheckpointDir(folder)
+            named = tempfile.mkdtemp(prefix="checkpoints-")
+        sc.setCheckpointDir(named)
+    return sc.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df``, computed once into ``spark.checkpoint.dir``; survives the loss of any executor."""
+    folder(df)
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder: for large steps.
+
+    Compressed, computed in one pass, and the shuffle files behind it go as soon as it is written.
+    """
+    conf, path = df.sparkSession.conf, f"{folder(df)}/table-{uuid.uuid4().hex}"
+    before = conf.get(CLEAN, "false")
+    conf.set(CLEAN, "true")
+    try:
+        df.select("*").write.parquet(path)  # a new plan: the setting is read when a plan is made
+    finally:
+        conf.set(CLEAN, before)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

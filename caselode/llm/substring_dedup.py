@@ -12,7 +12,7 @@ travels as one row (about a fifth of the edges).
    Where contents differ, paths branch inside the segment: one representative of each content is
    opened into its single edges, which are joined by (minimizer, edge).
 3. Occurrences join their segment's source; the join's large side can be split where a key is hot.
-   What comes back to a document are coordinates (first word, edges, source).
+   What comes back to a document are coordinates (first word and source).
 4. Every hit is verified at its coordinates in the document's own text, by recomputing minimizer and
    content there; together they are a 128-bit fingerprint of the span.
 
@@ -34,10 +34,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from caselode.llm import kernels as K
-from caselode.llm.shared import checkpointed
+from caselode.llm.shared import stored
 
 WORDS, ANCHOR = 13, 5
-HIT = "array<struct<pos:bigint,n:int,check:bigint,first:bigint,kind:int>>"
+HIT = "array<struct<pos:bigint,check:bigint,first:bigint,kind:int>>"
 EDGE = "array<struct<pos:bigint,check:bigint,first:bigint>>"
 
 
@@ -115,7 +115,7 @@ def occurrence_batches(batches, k, anchor):
         for s in K.slices(batch.column(1)):
             p = Paths(s, k, anchor, word_byte)
             if len(p.pos):
-                yield pa.RecordBatch.from_arrays([signed(p.content), pa.array(ids[s.lo + p.text]), pa.array(p.pos), pa.array(p.n.astype(np.int32))], names=["content", "id", "pos", "n"])
+                yield pa.RecordBatch.from_arrays([signed(p.content), pa.array(ids[s.lo + p.text]), pa.array(p.pos)], names=["content", "id", "pos"])
 
 
 def hits_of(column: pa.Array, fields: list[str]):
@@ -135,8 +135,8 @@ def open_batches(batches, k, anchor):
     word_byte = ~K.byte_table(K.SPACES)
     for batch in batches:
         ids = tables_of(batch)
-        rows, (pos, n, want, kind) = hits_of(batch.column(2), ["pos", "n", "check", "kind"])
-        rows, pos, n, want = (x[kind == 1] for x in (rows, pos, n, want))
+        rows, (pos, want, kind) = hits_of(batch.column(2), ["pos", "check", "kind"])
+        rows, pos, want = (x[kind == 1] for x in (rows, pos, want))
         for s in K.slices(batch.column(1)):
             own = (rows >= s.lo) & (rows < s.hi)
             if not own.any():
@@ -206,15 +206,15 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", *,
     # both groupings are served by the one shuffle by minimizer
     branch = per.groupBy("mini").agg(F.min("content").alias("low"), F.max("content").alias("high")).select("mini", (F.col("low") != F.col("high")).alias("branches"))
     sources = per.join(branch.hint("shuffle_hash"), "mini").where("many or branches").select("mini", "content", "first", "branches")
-    seen = known.mapInArrow(lambda it: occurrence_batches(it, words, anchor), "content long, id long, pos long, n int")
+    seen = known.mapInArrow(lambda it: occurrence_batches(it, words, anchor), "content long, id long, pos long")
     met = seen.join(sources, "content").where((F.col("id") > F.col("first")) | F.col("branches"))
     kind = F.when(F.col("id") > F.col("first"), 0).otherwise(1)
-    checked = met.select("id", F.struct("pos", "n", "mini", "content", "first", kind.alias("kind")).alias("hit"))
+    checked = met.select("id", F.struct("pos", "mini", "content", "first", kind.alias("kind")).alias("hit"))
     packed = checked.groupBy("id").agg(F.collect_list("hit").alias("hits"))
-    packed = checkpointed(packed.mapInArrow(pack_batches, f"id long, hits {HIT}"))
+    packed = stored(packed.mapInArrow(pack_batches, f"id long, hits {HIT}"))
     some = packed.where(F.exists("hits", lambda h: h["kind"] == 1))
     opened = known.join(some, "id").select("id", "text", "hits").mapInArrow(lambda it: open_batches(it, words, anchor), "mini long, edge long, id long, pos long")
-    opened = checkpointed(opened)
+    opened = stored(opened)
     least = opened.groupBy("mini", "edge").agg(F.min("id").alias("first"))
     singles = opened.join(least, ["mini", "edge"]).where("id > first").groupBy("id").agg(F.collect_list(F.struct("pos", "mini", "edge", "first")).alias("edges"))
     singles = singles.mapInArrow(pack_edges, f"id long, edges {EDGE}")
@@ -224,9 +224,9 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", *,
 
 def pack_batches(batches):
     for batch in batches:
-        _, (pos, n, mini, content, first, kind) = hits_of(batch.column(1), ["pos", "n", "mini", "content", "first", "kind"])
+        _, (pos, mini, content, first, kind) = hits_of(batch.column(1), ["pos", "mini", "content", "first", "kind"])
         code = check(mini.view(np.uint64), content.view(np.uint64))
-        flat = pa.StructArray.from_arrays([pa.array(pos), pa.array(n), pa.array(code), pa.array(first), pa.array(kind)], names=["pos", "n", "check", "first", "kind"])
+        flat = pa.StructArray.from_arrays([pa.array(pos), pa.array(code), pa.array(first), pa.array(kind)], names=["pos", "check", "first", "kind"])
         column = batch.column(1)
         offs = column.offsets.to_numpy() - column.offsets[0].as_py()
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offs), flat)], names=["id", "hits"])
