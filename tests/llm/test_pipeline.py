@@ -79,3 +79,12 @@ def test_stages_written_between_and_empty_tables(spark, tmp_path):
         docs = spark.read.parquet(f"{tmp_path}/{k}")
         assert docs.count() == 0 and docs.columns[:5] == ["doc_id", "text", "lang", "source", "n_chars"]
     assert Counter(docs.columns)["mix_taken"] == 1
+
+
+def test_benchmark_stage_drops_one_whole_item(spark, tmp_path):
+    rng = random.Random(7)
+    items = [(i, prose(rng, 40)) for i in range(2)]
+    texts = [prose(rng, 50), prose(rng, 30) + f" {items[0][1]} " + prose(rng, 30), f"{items[0][1]} {items[1][1]}", " ".join(items[1][1].split()[:7]), None]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)], SCHEMA)
+    assert sorted(r["doc_id"] for r in corpus_pipeline.benchmark(spark, docs, str(tmp_path)).collect()) == [0, 3, 4]
