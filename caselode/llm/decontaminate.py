@@ -91,7 +91,8 @@ def scan_batches(batches, shared, window, text_at):
             for i in range(len(s)):
                 found = []
                 if live and first[i + 1] > first[i]:
-                    flat = f" {' '.join(s.text(i).translate(fold).decode('latin-1').split())} "
+                    # cut as bytes: as characters, \x85 and \xa0 of a word's UTF-8 would be blanks
+                    flat = f" {b' '.join(s.text(i).translate(fold).split()).decode('latin-1')} "
                     found = list(machine.iter(flat))
                 if not found:
                     hit_words.append([])

@@ -119,6 +119,17 @@ def test_decontaminate(spark):
     assert decontaminate.scan(frame, bench.limit(0)).where("n_items > 0").count() == 0
 
 
+def test_decontaminate_words_with_bytes_of_latin1_blanks(spark):
+    items = [(1, "il va à la mer avec Åsa et l'été"), (2, "один хороший Русский текст"), (3, "są\u00a0tu")]
+    docs = [(1, f"à Å ą Š {items[0][1]} puis"), (2, f"х Р {items[1][1]}, {items[2][1]}."), (3, "à\u00a0b х " * 5 + "xą one"), (4, items[2][1])]
+    want = plain.decontaminate(docs, items)
+    got = {r["doc_id"]: r for r in decontaminate.scan(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert [w[2] for w in want] == [["1"], ["2", "3"], [], ["3"]]
+    for (i, _), (n, hit, found) in zip(docs, want):
+        assert (got[i]["n_words"], list(got[i]["hit_words"]), list(got[i]["items"])) == (n, hit, found)
+    assert [docs[0][1][s["start"] : s["end"]] for s in got[1]["spans"]] == [items[0][1]]
+
+
 def test_quality_base_columns(spark, awkward):
     rows = awkward + [(900, "a|b #c\r\nx\n\nx\n x\nx"), (901, "\n\n"), (902, "line\nline"), (903, "é " * 9)]
     got = quality_bands.judge(spark.createDataFrame(rows, DOCS)).collect()
