@@ -9,8 +9,8 @@ Texts are parsed whole, in blocks of ``BLOCK`` letters so that all blocks and la
 advance together, one letter at a time, through one dense transition table: greedy parsing needs
 no suffix links, only "extend the phrase, or end it and start the next".
 
-Fitting: up to ``rows`` texts per language (the least hashes of their content among labelled rows)
-and ``chars`` letters of them, at most ``languages`` languages; the bound is what is broadcast.  Rows
+Fitting: up to ``rows`` different texts per language (the least hashes of their content among labelled
+rows; copies count once) and ``chars`` letters of them, at most ``languages`` languages; the bound is what is broadcast.  Rows
 whose label a model of the other half of the sample disputes are left out.
 
 Defined cases: null texts and texts without letters are ``und`` with score 0; null labels and null
@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import math
 import sys
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -190,16 +191,23 @@ def clean_training(sample: dict[str, list[str]], chars: int) -> dict[str, str]:
 
 def fit(docs: DataFrame, text: str, lang: str, may_learn: Column, *, rows: int = ROWS, chars: int = CHARS, languages: int = LANGUAGES) -> dict[str, str]:
     """Training text per language.  What reaches the driver: languages * rows excerpts at most."""
-    known = docs.where(may_learn & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"))
-    counts = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(languages).collect()
+    known = docs.where(may_learn & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text")).withColumn("draw", F.xxhash64("text"))
+    counts = known.select("lang", "draw").distinct().groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(languages).collect()
     if not counts:
         return {}
-    # rows below this hash are about three times what is wanted; the window then takes the least ones
-    share = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1.0, 3.0 * rows / r["n"])))])
-    draw = F.xxhash64("text")
-    drawn = known.withColumn("draw", draw).where((F.pmod("draw", F.lit(1 << 40)) / F.lit(float(1 << 40))) < F.try_element_at(share, F.col("lang")))
+    # texts below this hash are about three times what is wanted; the window then takes the least ones
+    share = {r["lang"]: min(1.0, 3.0 * rows / r["n"]) for r in counts}
     place = F.row_number().over(W.partitionBy("lang").orderBy("draw", "excerpt"))
-    found = drawn.select("lang", "draw", F.substring("text", 1, EXCERPT).alias("excerpt")).withColumn("place", place).where(F.col("place") <= rows).collect()
+    while True:
+        below = F.create_map(*[x for name, part in share.items() for x in (F.lit(name), F.lit(part))])
+        drawn = known.where((F.pmod("draw", F.lit(1 << 40)) / F.lit(float(1 << 40))) < F.try_element_at(below, F.col("lang")))
+        once = drawn.groupBy("lang", "draw").agg(F.min(F.substring("text", 1, EXCERPT)).alias("excerpt"))
+        found = once.withColumn("place", place).where(F.col("place") <= rows).collect()
+        have = Counter(r["lang"] for r in found)
+        short = [r["lang"] for r in counts if have[r["lang"]] < min(rows, r["n"]) and share[r["lang"]] < 1]
+        if not short:
+            break
+        share |= {name: min(1.0, 4 * share[name]) for name in short}
     sample: dict[str, list[str]] = {}
     for r in sorted(found, key=lambda r: (r["lang"], r["place"])):
         if t := letters(r["excerpt"]):

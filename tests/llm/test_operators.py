@@ -266,6 +266,14 @@ def test_language_id(spark):
     assert {r["lang_pred"] for r in language_id.predict(frame.select("doc_id", "text"), {}).collect()} == {"und"}
 
 
+def test_language_id_learns_from_different_texts_however_often_copied(spark):
+    rng = random.Random(9)
+    once = [(" ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(4)), "bb") for _ in range(60)] + [("zu wo da", "cc"), ("xi yo", "dd")]
+    copies = [r for i, r in enumerate(once) for _ in range(20 if i < 60 else 600)]
+    training = [language_id.fit(spark.createDataFrame(rows, "text string, lang string"), "text", "lang", F.lit(True)) for rows in (once, copies)]
+    assert training[0] == training[1] and set(training[1]) == {"bb", "cc", "dd"}
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_cross_parsing_equals_the_plain_parse(seed):
     rng = random.Random(seed)
