@@ -6,9 +6,10 @@ by moments of the over-dispersion between its groups.  A host is blocked when th
 its posterior bad rate exceeds ``limit``: few or mixed outcomes never block.
 
 Native: DataFrame functions only.  Labels are counted per host before anything is joined, so a host
-with a third of all pages is one row of the reputation table; pages without any labelled outcome on
-their host fall back to domain, suffix and global means in the same expression.  The join back is an
-equi-join on host whose page side adaptive execution can split.
+with a third of all pages is one row of the reputation table.  Hosts without any labelled outcome take
+the bound that the same expression gives for no outcomes of their own from their domain's mean, or
+else their suffix's.  Levels meet per host, not per page; the join back is an equi-join on host whose
+page side adaptive execution can split.
 
 Defined cases: a null url, or one without ``://``, has an empty host and path, no rule, and the
 method's verdict on the empty host; null labels are no outcomes; repeated rows count each time;
@@ -75,8 +76,16 @@ def strength(groups: DataFrame, n: str, bad: str) -> DataFrame:
     return s.withColumn("m", mean).select(F.coalesce("m", F.lit(0.0)).alias("mean"), F.coalesce(k, F.lit(MOST_STRENGTH)).alias("strength"))
 
 
-def reputation(labelled: DataFrame, z: float = Z) -> DataFrame:
-    """Per host with outcomes: n, bad, prior, posterior mean and bound.
+def posterior(n: Column, bad: Column, prior: Column, k: Column, z: float) -> list[Column]:
+    """posterior mean and bound of a beta prior of mean ``prior`` and strength ``k`` after n outcomes."""
+    a, c = bad + k * prior, n - bad + k * (1 - prior)
+    total = a + c
+    mean = a / total
+    return [mean.alias("posterior"), (mean - z * F.sqrt(a * c / (total * total * (total + 1)))).alias("bound")]
+
+
+def reputation(labelled: DataFrame, z: float = Z) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Posterior and bound per host with outcomes, and those of a host without any per domain and per suffix.
 
     labelled: (host, domain, suffix, bad) with one row per outcome, bad 0 or 1.
     """
@@ -89,26 +98,34 @@ def reputation(labelled: DataFrame, z: float = Z) -> DataFrame:
     levels = F.broadcast(ks.crossJoin(kd).crossJoin(kh))  # one row
     s_mean = (F.col("sb") + F.col("s_k") * F.col("g_mean")) / (F.col("sn") + F.col("s_k"))
     d_mean = (F.col("db") + F.col("d_k") * F.col("s_mean")) / (F.col("dn") + F.col("d_k"))
-    a, c = F.col("b") + F.col("h_k") * F.col("d_mean"), F.col("n") - F.col("b") + F.col("h_k") * (1 - F.col("d_mean"))
-    got = hosts.join(domains, ["suffix", "domain"]).join(suffixes, ["suffix"]).crossJoin(levels).withColumn("s_mean", s_mean).withColumn("d_mean", d_mean).withColumns({"pa": a, "pc": c})
-    total = F.col("pa") + F.col("pc")
-    mean = F.col("pa") / total
-    sd = F.sqrt(F.col("pa") * F.col("pc") / (total * total * (total + 1)))
-    return got.select("host", "n", F.col("b").alias("bad"), F.col("d_mean").alias("prior"), mean.alias("posterior"), (mean - z * sd).alias("bound"))
+    of_suffix = suffixes.crossJoin(levels).withColumn("s_mean", s_mean)
+    of_domain = domains.join(of_suffix, ["suffix"]).withColumn("d_mean", d_mean)
+    of_host = hosts.join(of_domain.select("suffix", "domain", "d_mean", "h_k"), ["suffix", "domain"])
+    none, k = F.lit(0), F.col("h_k")
+    return (
+        of_host.select("host", "n", F.col("b").alias("bad"), F.col("d_mean").alias("prior"), *posterior(F.col("n"), F.col("b"), F.col("d_mean"), k, z)),
+        of_domain.select("domain", *posterior(none, none, F.col("d_mean"), k, z)),
+        of_suffix.select("suffix", *posterior(none, none, F.col("s_mean"), k, z)),
+    )
 
 
 def judge(pages: DataFrame, outcomes: DataFrame, url: str = "url", key: str = "page_id", bad: str = "bad", *, rules=RULES, limit: float = LIMIT, z: float = Z, prefix: str = "") -> DataFrame:
     """``pages`` with host, path, rule, posterior, bound and verdict (named with ``prefix``).
 
-    outcomes: (key, bad) labels of pages.  A host without outcomes has no evidence of its own, so
-    no posterior bound, and is allowed.  Labels meet only the url's parts of labelled pages, never
-    the page bodies.
+    outcomes: (key, bad) labels of pages.  A host without outcomes has the posterior bound of its
+    domain, or else its suffix; without outcomes there either it has none and is allowed.  Labels
+    meet only the url's parts of labelled pages, never the page bodies.
     """
     p = "__url_"
     parts = with_parts(pages.select(F.col(key).alias(p + "key"), F.col(url).alias(p + "url")), p + "url", p)
     named = outcomes.where(F.col(bad).isNotNull()).select(F.col(key).alias(p + "key"), F.col(bad).cast("long").alias("bad"))
-    labelled = parts.join(named, p + "key").select(F.col(p + "host").alias("host"), F.col(p + "domain").alias("domain"), F.col(p + "suffix").alias("suffix"), "bad")
-    known = reputation(labelled, z).select(F.col("host").alias(p + "known"), F.col("posterior").alias(p + "posterior"), F.col("bound").alias(p + "bound"))
+    places = [F.col(p + c).alias(c) for c in ("host", "domain", "suffix")]
+    labelled = parts.join(named, p + "key").select(*places, "bad")
+    known = parts.select(*places).distinct()
+    for level, table in zip(("host", "domain", "suffix"), reputation(labelled, z)):
+        known = known.join(table.select(level, F.struct("posterior", "bound").alias(p + level)), level, "left")
+    best = F.coalesce(*[F.col(p + c) for c in ("host", "domain", "suffix")])
+    known = known.select(F.col("host").alias(p + "known"), best["posterior"].alias(p + "posterior"), best["bound"].alias(p + "bound"))
     own = pages.columns
     full = pages.withColumns({p + "host": host_of(F.col(url)), p + "path": path_of(F.col(url))})
     rule, said = rule_for(F.col(p + "host"), F.col(p + "path"), rules)

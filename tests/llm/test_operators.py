@@ -326,6 +326,17 @@ def test_reputation_shrinks_towards_the_domain(spark):
     assert by["few.worse.org"]["posterior"] > by["one.fine.org"]["posterior"] and by["few.worse.org"]["bound"] < by["bad.worse.org"]["bound"]
 
 
+def test_hosts_without_outcomes_take_their_domain_or_suffix(spark):
+    counts = [("a.bad.org", 60, 60), ("b.bad.org", 40, 39), ("a.good.org", 200, 2), ("b.good.org", 100, 1), ("a.vile.xyz", 90, 89), ("a.foul.xyz", 90, 90)]
+    pages = [(h, int(i < b)) for h, n, b in counts for i in range(n)] + [(h, None) for h in ("new.bad.org", "new.good.org", "other.xyz", "other.nowhere")]
+    frame = spark.createDataFrame([(i, f"http://{h}/") for i, (h, _) in enumerate(pages)], "page_id long, url string")
+    labels = spark.createDataFrame([(i, b) for i, (_, b) in enumerate(pages)], url_reputation.SCHEMA)
+    got = url_reputation.judge(frame, labels).collect()
+    by = {r["host"]: r for r in got}
+    assert len(got) == len(pages) and {h: by[h]["verdict"] for h in ("new.bad.org", "new.good.org", "other.xyz", "other.nowhere")} == {"new.bad.org": "block", "new.good.org": "allow", "other.xyz": "block", "other.nowhere": "allow"}
+    assert by["other.nowhere"]["bound"] is None and by["new.bad.org"]["bound"] < by["a.bad.org"]["bound"]
+
+
 CHAT = [
     (1, 0, "user", "Where do the files go? I looked everywhere for them.\nThe disk is full."),
     (1, 1, "assistant", "They go to the shared folder. Please clean it first."),
