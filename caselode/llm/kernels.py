@@ -4,8 +4,11 @@ Texts stay in Arrow's UTF-8 buffer; words, windows and lines are index arrays in
 cut into slices of about ``SLICE_BYTES`` (one document at least, however long), so the temporaries
 of a task are bounded by the longest single text, never by a batch, partition or group.
 
-Hashes are 64-bit polynomial hashes modulo 2**64 with odd bases, finished by a bijective mixer; the
-prefix sums make the hash of any byte or word range two lookups.
+Words are compared by their bytes: within a batch of words Arrow's dictionary gives each different
+word a number (``word_codes``), and ``word_ids`` extends that to several slices.  Where words have to
+mean the same across tasks they are xxh3 hashes of the bytes (``word_hashes``), and a window of k
+words combines those by a tree of bijective, non-linear steps, so no structure of the text makes
+different windows meet more often than 64-bit chance.
 """
 
 from __future__ import annotations
@@ -18,17 +21,12 @@ import pyarrow.compute as pc
 from pyspark import cloudpickle
 
 SLICE_BYTES = 1 << 20
-MASK = (1 << 64) - 1
-BYTE_BASE = 0x9E3779B97F4A7C15
-WORD_BASE = 0xC2B2AE3D27D4EB4F
+STEP = np.uint64(0x9E3779B97F4A7C15)
 
 #: The byte classes of the contracts.
 SPACES = bytes([0x20, *range(0x09, 0x0E)])
 NOT_ITEM_WORD = bytes([*range(0x00, 0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)])
 
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
 def ship(module) -> None:
     """Send this module's functions by value, so executors need no copy of the package."""
     cloudpickle.register_pickle_by_value(module)
@@ -46,26 +44,6 @@ def ascii_lower_table() -> np.ndarray:
     return table
 
 
-def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2**64 for i < n at least."""
-    have = _powers.get(base)
-    if have is None or len(have[0]) < n:
-        size = max(n, SLICE_BYTES + 1)
-        out = []
-        for b in (base, pow(base, -1, 1 << 64)):
-            arr = np.empty(size, dtype=np.uint64)
-            arr[0] = 1
-            filled, step = 1, b
-            while filled < size:
-                take = min(filled, size - filled)
-                arr[filled : filled + take] = arr[:take] * np.uint64(step)
-                filled += take
-                step = step * step & MASK
-            out.append(arr)
-        have = _powers[base] = (out[0], out[1])
-    return have
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijective finaliser of 64-bit words."""
     h = h ^ (h >> np.uint64(30))
@@ -76,18 +54,30 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def prefix(values: np.ndarray, base: int) -> np.ndarray:
-    out = np.empty(len(values) + 1, dtype=np.uint64)
-    out[0] = 0
-    np.cumsum(values * powers(base, len(values) + 1)[0][: len(values)], out=out[1:])
+def combined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """One hash of two; bijective in either, and not symmetric."""
+    return mix(a * STEP + b)
+
+
+def in_a_row(h: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of all k neighbouring elements: doubled up to the powers of two that k is made of."""
+    n, out, at, power = len(h) - k + 1, None, 0, 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    level, parts = h, {}
+    while power <= k:
+        parts[power] = level
+        if 2 * power <= k:
+            level = combined(level[: len(level) - power], level[power:])
+        power *= 2
+    for power in sorted(parts, reverse=True):
+        if k - at >= power:
+            piece = parts[power][at : at + n]
+            out = piece if out is None else combined(out, piece)
+            at += power
     return out
 
 
-def ranges(pre: np.ndarray, start: np.ndarray, end: np.ndarray, base: int) -> np.ndarray:
-    """Hashes of [start, end) by position-free prefix sums."""
-    return mix((pre[end] - pre[start]) * powers(base, len(pre))[1][start])
-
-
 class Slice:
     """Some consecutive rows of a batch: ``data`` is their UTF-8, ``offs`` their borders in it."""
 
@@ -142,8 +132,66 @@ def words(s: Slice, word_byte: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
     return start, end, np.searchsorted(start, s.offs)
 
 
+def packed(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
+    """The bytes of sorted ranges that don't overlap, as a binary array."""
+    edge = np.zeros(len(data) + 1, dtype=np.int8)
+    edge[start] = 1
+    stop = np.zeros(len(data) + 1, dtype=np.int8)
+    stop[end] = 1
+    inside = np.cumsum(edge - stop, dtype=np.int8)[: len(data)] > 0
+    offs = np.zeros(len(start) + 1, dtype=np.int64)
+    np.cumsum(end - start, out=offs[1:])
+    return pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(offs), pa.py_buffer(np.ascontiguousarray(data[inside]))])
+
+
+def word_codes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """(a number for each word, the different words): equal numbers are equal bytes."""
+    coded = packed(data, start, end).dictionary_encode()
+    return coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary
+
+
+def word_ids(data: np.ndarray, start: np.ndarray, end: np.ndarray, known: dict[bytes, int]) -> np.ndarray:
+    """Numbers of the words that hold across slices which share ``known``."""
+    codes, different = word_codes(data, start, end)
+    return np.array([known.setdefault(w, len(known)) for w in different.to_pylist()], dtype=np.int64)[codes] if len(codes) else codes
+
+
 def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    return ranges(prefix(data.astype(np.uint64) + np.uint64(1), BYTE_BASE), start, end, BYTE_BASE)
+    """xxh3 of each word's bytes; each different word of the slice is hashed once."""
+    import xxhash
+
+    codes, different = word_codes(data, start, end)
+    return np.array([xxhash.xxh3_64_intdigest(w) for w in different.to_pylist()], dtype=np.uint64)[codes] if len(codes) else codes.view(np.uint64)
+
+
+def numbered(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A number for each pair (a, b) of small numbers; equal numbers are equal pairs."""
+    import pandas as pd
+
+    if not len(a):
+        return a
+    width = int(b.max()) + 1
+    assert (int(a.max()) + 1) * width < 1 << 63
+    return pd.factorize(a * width + b)[0].astype(np.int64)
+
+
+def rows_of(codes: np.ndarray, k: int) -> np.ndarray:
+    """Numbers of all k neighbouring elements, exact: as ``in_a_row``, by numbered pairs instead of hashes."""
+    n, out, at, power = len(codes) - k + 1, None, 0, 1
+    if n <= 0:
+        return np.zeros(0, np.int64)
+    level, parts = codes, {}
+    while power <= k:
+        parts[power] = level
+        if 2 * power <= k:
+            level = numbered(level[: len(level) - power], level[power:])
+        power *= 2
+    for power in sorted(parts, reverse=True):
+        if k - at >= power:
+            piece = parts[power][at : at + n]
+            out = piece if out is None else numbered(out, piece)
+            at += power
+    return out
 
 
 def owners(first: np.ndarray) -> np.ndarray:
@@ -151,18 +199,22 @@ def owners(first: np.ndarray) -> np.ndarray:
     return np.repeat(np.arange(len(first) - 1), np.diff(first))
 
 
-def windows(pre: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(position, hash) of all k-word windows that lie within one text; pre: prefix() of word hashes."""
-    n = len(pre) - 1
+def within(n: int, first: np.ndarray, k: int) -> np.ndarray:
+    """Positions of the k-word windows that lie within one text, of n words."""
     if n < k:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return np.zeros(0, np.int64)
     ok = np.ones(n - k + 1, dtype=bool)
     for j in range(1, k):  # a window that starts j words before a border crosses it
         cut = first[1:-1] - j
         cut = cut[(cut >= 0) & (cut < len(ok))]
         ok[cut] = False
-    at = np.flatnonzero(ok)
-    return at, ranges(pre, at, at + k, WORD_BASE)
+    return np.flatnonzero(ok)
+
+
+def windows(h: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(position, hash) of all k-word windows that lie within one text; h: hashes of the words."""
+    at = within(len(h), first, k)
+    return at, in_a_row(h, k)[at] if len(at) else np.zeros(0, np.uint64)
 
 
 def repeated(keys: np.ndarray) -> np.ndarray:

@@ -6,13 +6,15 @@
 2. Inverted lists: neighbouring pairs among the ``LISTED`` smallest values are the keys.  (With
    Jaccard 0.85 a pair of neighbours is common with probability 0.72; that none of 19 is, has
    probability 1e-8.  A single value would put all texts with one common passage in one list.)
-   A list of more than ``BLOCK`` texts is cut into hash blocks, and pairs of blocks are compared.
+   A list of more than ``BLOCK`` texts, or of more than ``BLOCK_SHINGLES`` shingles together, is cut
+   into hash blocks, and pairs of blocks are compared.
 3. Union-sketch estimation: inside a list, texts whose sketches share too few values for the
    threshold (by more than five standard deviations) are no candidates.  Each candidate pair is
    handled in one list only, its smallest common key.  What leaves the list are members with a
    candidate, not pairs.
-4. Exact Jaccard on full sets, again inside the lists' blocks; a block emits a spanning forest of
-   its links, so a dense group of g texts gives at most about 2 g links a block pair, never g * g.
+4. Exact Jaccard on full sets, again inside the lists' blocks, where words are compared by their
+   bytes and not by hashes; a block emits a spanning forest of its links, so a dense group of g
+   texts gives at most about 2 g links a block pair, never g * g.
 5. Components by star contraction; every document joins its class's component.
 
 Blocks keep tasks small, but g different texts that share a key still cost g * g / 2 sketch
@@ -38,7 +40,7 @@ from caselode.llm.graph import components
 from caselode.llm.shared import checkpointed
 
 SHINGLE, PERCENT = 5, 80
-SKETCH, LISTED, BLOCK = 64, 20, 512
+SKETCH, LISTED, BLOCK, BLOCK_SHINGLES = 64, 20, 512, 1 << 20
 PAD = np.uint32(0xFFFFFFFF)
 SIGNATURE = "id long, n long, c1 long, c2 long, sketch binary"
 
@@ -47,13 +49,16 @@ def shingle_sets(s: K.Slice, k: int, word_byte: np.ndarray, lower: np.ndarray) -
     """(hashes, borders): each text's distinct shingles, sorted by hash."""
     start, end, first = K.words(s, word_byte)
     wh = K.word_hashes(lower[s.data], start, end)
-    pre = K.prefix(wh, K.WORD_BASE)
-    at, h = K.windows(pre, first, k)
+    at, h = K.windows(wh, first, k)
     doc = K.owners(first)[at] if len(at) else np.zeros(0, np.int64)
     count = np.diff(first)
-    short = np.flatnonzero((count > 0) & (count < k))
-    h = np.concatenate([h, K.ranges(pre, first[short], first[short + 1], K.WORD_BASE) ^ np.uint64(0x5851F42D4C957F2D)])
-    doc = np.concatenate([doc, short])
+    hashes, docs = [h], [doc]
+    for n in range(1, k):  # texts of fewer words than a shingle
+        short = np.flatnonzero(count == n)
+        if len(short):
+            hashes.append(K.combined(K.in_a_row(wh, n)[first[short]], np.full(len(short), n, np.uint64)))
+            docs.append(short)
+    h, doc = np.concatenate(hashes), np.concatenate(docs)
     order = np.lexsort((h, doc))
     h, doc = h[order], doc[order]
     fresh = np.ones(len(h), dtype=bool)
@@ -62,6 +67,27 @@ def shingle_sets(s: K.Slice, k: int, word_byte: np.ndarray, lower: np.ndarray) -
     return h, np.searchsorted(doc, np.arange(len(s) + 1))
 
 
+def exact_sets(slices, k: int, word_byte: np.ndarray, lower: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(numbers, sizes): the shingle sets of a group's texts; equal numbers are equal words, by their bytes."""
+    known: dict[bytes, int] = {}
+    words, count = [], []
+    for s in slices:
+        start, end, first = K.words(s, word_byte)
+        words.append(K.word_ids(lower[s.data], start, end, known))
+        count.append(np.diff(first))
+    words, count = np.concatenate(words), np.concatenate(count)
+    first = np.concatenate([[0], np.cumsum(count)])
+    at = K.within(len(words), first, k)
+    ids, doc, base = [K.rows_of(words, k)[at]] if len(at) else [np.zeros(0, np.int64)], [K.owners(first)[at]] if len(at) else [np.zeros(0, np.int64)], len(words)
+    for n in range(1, k):
+        short = np.flatnonzero(count == n)
+        if len(short):
+            ids.append(K.rows_of(words, n)[first[short]] + n * base)
+            doc.append(short)
+    pair = np.unique(np.stack([np.concatenate(doc), np.concatenate(ids)], axis=1), axis=0)
+    return pair[:, 1], np.bincount(pair[:, 0], minlength=len(count))
+
+
 def tables() -> tuple[np.ndarray, np.ndarray]:
     return ~K.byte_table(K.SPACES), K.ascii_lower_table()
 
@@ -194,9 +220,8 @@ def verify_batches(batches, k, percent):
             continue
         bi, bj = group.column(1)[0].as_py(), group.column(2)[0].as_py()
         block, node = group.column(3).to_numpy(), group.column(4).to_numpy()
-        parts = [shingle_sets(s, k, word_byte, lower) for s in K.slices(group.column(5))]
-        size = np.concatenate([np.diff(at) for _, at in parts])
-        flat, ids = np.unique(np.concatenate([h for h, _ in parts]), return_inverse=True)
+        numbers, size = exact_sets(K.slices(group.column(5)), k, word_byte, lower)
+        flat, ids = np.unique(numbers, return_inverse=True)
         cuts = np.concatenate([[0], np.cumsum(size)])
         table = np.zeros(len(flat) + 1, dtype=bool)
         ids = np.append(ids, len(flat))  # reduceat needs an element after the last border
@@ -225,8 +250,8 @@ def links(docs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFram
     docs: (id, text); classes: (id, n, sketch), a row per class.
     """
     members = classes.where("n > 1 and id is not null").select("id", "n", "sketch").mapInArrow(key_batches, "key long, id long, n long")
-    lists = members.groupBy("key").agg(F.count(F.lit(1)).alias("g")).where("g > 1")
-    blocks = F.ceil(F.col("g") / BLOCK)
+    lists = members.groupBy("key").agg(F.count(F.lit(1)).alias("g"), F.sum("n").alias("held")).where("g > 1")
+    blocks = F.greatest(F.ceil(F.col("g") / BLOCK), F.least(F.col("g"), F.ceil(F.col("held") / BLOCK_SHINGLES)))
     block = F.pmod(F.xxhash64("id"), blocks).cast("int")
     met = members.join(lists, "key").select("key", "id", block.alias("block"), F.explode(F.sequence(F.lit(0), blocks.cast("int") - 1)).alias("other"))
     met = met.select("key", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "block", "id")
@@ -254,10 +279,18 @@ def group(docs: DataFrame, text: str = "text", key: str = "doc_id", *, shingle:
 
 
 def deduplicate(docs: DataFrame, text: str = "text", key: str = "doc_id", **options) -> DataFrame:
-    """``docs`` with one document of each component, the one with the smallest id; repeated rows once."""
+    """``docs`` with one document of each component, the one with the smallest id; repeated rows once.
+
+    The ids to keep are joined to ``docs`` once.  Ids of several kept rows are looked for among the
+    ids alone; only where there are any do rows meet by (id, text), and then only those.
+    """
     own = docs.columns
-    kept = group(docs, text, key, **options).where("kept").select(F.col("id").alias("__dedup_id")).distinct()
-    return docs.join(kept, F.col(key).cast("long").eqNullSafe(F.col("__dedup_id")), "left_semi").withColumn("__dedup_text", F.xxhash64(text)).dropDuplicates([key, "__dedup_text"]).select(*own)
+    kept = checkpointed(group(docs, text, key, **options).where("kept").groupBy(F.col("id").alias("__dedup_id")).agg(F.count(F.lit(1)).alias("__dedup_n")))
+    out = docs.join(kept, F.col(key).cast("long").eqNullSafe(F.col("__dedup_id")))
+    if kept.where("__dedup_n > 1").limit(1).count():
+        again = out.where("__dedup_n > 1").withColumn("__dedup_text", F.xxhash64(text)).dropDuplicates([key, "__dedup_text"])
+        out = out.where("__dedup_n = 1").unionByName(again.drop("__dedup_text"))
+    return out.select(*own)
 
 
 K.ship(sys.modules[__name__])

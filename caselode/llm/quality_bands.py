@@ -6,7 +6,9 @@ context to be compressed by.  The ratio is raw bytes over zstandard bytes, frame
 
 A document is kept when its own ratio lies in the band of its length, and at most
 ``max_bad_chunks`` of its fixed chunks of ``chunk_bytes`` lie outside the chunk band (so that a
-long clean prefix doesn't hide a long noisy tail).
+long clean prefix doesn't hide a long noisy tail).  Texts of more than one chunk are cut; the last
+chunk is the text's last ``chunk_bytes``, overlapping the one before, so every byte is judged.
+The base counts compare words and lines by their bytes, not by hashes.
 
 Defined cases: null and empty texts have no words, fail the base rules and are dropped; a repeated
 row is judged again and gets the same result; extra columns, of any name, pass through ``judge``.
@@ -68,12 +70,11 @@ def measure(s: K.Slice, word_byte: np.ndarray, symbol: np.ndarray) -> dict[str,
     doc = K.owners(first)
     out = {"n_words": np.diff(first), "word_chars": K.per_text(lead & word_byte[data], s.offs), "n_symbols": K.per_text(symbol[data], s.offs)}
 
-    byte_prefix = K.prefix(data.astype(np.uint64) + np.uint64(1), K.BYTE_BASE)
-    wh = K.ranges(byte_prefix, start, end, K.BYTE_BASE)
-    at, h = K.windows(K.prefix(wh, K.WORD_BASE), first, 5)
-    salt = np.uint64(0xA24BAED4963EE407)
-    again = K.repeated(K.mix(h + doc[at].astype(np.uint64) * salt)) if len(at) else np.zeros(0, bool)
-    hit = K.covered(len(start), at[again], 5) if again.any() else np.zeros(len(start), bool)
+    at = K.within(len(start), first, 5)
+    hit = np.zeros(len(start), bool)
+    if len(at):
+        codes, _ = K.word_codes(data, start, end)
+        hit = K.covered(len(start), at[K.repeated(K.numbered(K.rows_of(codes, 5)[at], doc[at]))], 5)
     out["n_repeat_words"] = K.per_text(hit, first)
 
     breaks = np.flatnonzero(data == 10)
@@ -84,8 +85,8 @@ def measure(s: K.Slice, word_byte: np.ndarray, symbol: np.ndarray) -> dict[str,
     with_word = np.searchsorted(start, line_end) > np.searchsorted(start, line_start)
     line_start, line_end = line_start[with_word], line_end[with_word]
     line_doc = np.searchsorted(s.offs, line_start, side="right") - 1
-    key = K.mix(K.ranges(byte_prefix, line_start, line_end, K.BYTE_BASE) + line_doc.astype(np.uint64) * salt)
-    _, kept = np.unique(key, return_index=True)
+    same, _ = K.word_codes(data, line_start, line_end)
+    _, kept = np.unique(same * len(s) + line_doc, return_index=True)
     lines = np.bincount(line_doc, minlength=len(s))
     out["n_dup_lines"] = lines - np.bincount(line_doc[kept], minlength=len(s))
     return out
@@ -111,9 +112,10 @@ def judge_batches(batches, bands, chunk_bytes, max_bad_chunks, level, text_at):
                 whole[i] = ratio(raw)
                 lo, hi = band(len(raw), bands)
                 fine = lo <= whole[i] <= hi
-                if len(raw) >= 2 * chunk_bytes:
+                if len(raw) > chunk_bytes:
                     lo, hi = band(chunk_bytes - 1, bands)
-                    chunks = [raw[a : a + chunk_bytes] for a in range(0, len(raw) - chunk_bytes + 1, chunk_bytes)]
+                    starts = [*range(0, len(raw) - chunk_bytes, chunk_bytes), len(raw) - chunk_bytes]
+                    chunks = [raw[a : a + chunk_bytes] for a in starts]
                     n_chunks[i] = len(chunks)
                     n_bad[i] = sum(not lo <= ratio(c) <= hi for c in chunks)
                     fine &= n_bad[i] <= max_bad_chunks * n_chunks[i]
