@@ -8,9 +8,14 @@ confirms are positives, so the trees learn how confirmed data look in this corpu
 the same look that no base rule can express are added when their calibrated precision is at least
 ``precision``.  A candidate that a base pattern matched and its check refused stays refused.
 
-Fitting: one aggregation counts candidates by feature vector over all documents.  The vectors are
-small integers, so there are at most ``CELLS`` of them whatever the corpus; the trees are boosted on
-those counts on the driver and applied as SQL CASE expressions.
+Fitting: one aggregation counts candidates by feature vector and by half of the texts, over all
+documents.  The vectors are small integers, so there are at most ``2 * CELLS`` counts whatever the
+corpus; the trees are boosted on the driver on one half's counts, the threshold is calibrated on the
+other half's, and both are applied as SQL CASE expressions.  Copies of a text share a half.
+
+Bounds in the generators' patterns: a spelled-out address has a local part of up to 64 characters
+and up to eight labels of up to 63 behind the first; a wide number has 7 to 30 digits with up to two
+separators between neighbours.  Longer ones are no candidates (base spans have no such bounds).
 
 Native: DataFrame functions only.  Defined cases: null and empty texts have no candidates or spans;
 without positives or negatives nothing is added; repeated rows count and are judged again; other
@@ -22,10 +27,12 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from caselode.llm import spans as S
+from caselode.llm.shared import stored
 
 KINDS = ["email", "ip", "card", "phone", "contact", "number"]
 BASE = 4
@@ -80,50 +87,51 @@ def bucket(x: Column, borders: list[int]) -> Column:
     return out
 
 
-def features(text: Column, m: Column, shape: int) -> Column:
+def features(m: Column, shape: int) -> Column:
     """The candidate's vector as one packed integer, mixed-radix by LEVELS."""
-    hit, digits = m["hit"], F.length(only_digits(m["hit"]))
-    seps = F.regexp_replace(hit, r"[^ ().\-\[\]]", "")
-    style = F.when(F.length(seps) == 0, 0).when(seps.rlike(r"^ +$"), 1).when(seps.rlike(r"^-+$"), 2).when(seps.rlike(r"^\.+$"), 3).when(seps.rlike(r"[(]"), 4).otherwise(5)
-    before = F.lower(F.substring(text, F.greatest(F.lit(1).cast("bigint"), m["start"] - CONTEXT + 1).cast("int"), F.least(F.lit(CONTEXT).cast("bigint"), m["start"]).cast("int")))
-    cue = F.lit(0)
-    for i, (_, names) in enumerate(CUES):
-        cue = F.when(before.rlike(rf"\b(?:{names})"), i + 1).otherwise(cue)
-    edge = F.regexp_replace(F.substring(before, -2, 2), r"\+", " ")  # the plus sign is what the base rule tests
-    left = F.when(edge.rlike(r"(?:^|[\s])$"), 0).when(edge.rlike(r"[$#€£%]$"), 1).when(edge.rlike(r"[\p{L}\p{N}_]$"), 2).otherwise(3)
-    after = F.substring(text, (m["end"] + 1).cast("int"), F.lit(1))
-    right = F.when((after == "") | after.rlike(r"\s"), 0).when(after.rlike("[%€$£]"), 1).when(after.rlike(r"[\p{L}\p{N}_]"), 2).otherwise(3)
-    values = (F.lit(shape), bucket(digits, [1, 7, 9, 10, 11, 14, 17]), F.least(F.length(seps), F.lit(4)), style, cue, left, right)
-    packed = F.lit(0)
-    for value, n in zip(values, LEVELS):
-        packed = packed * n + value
-    return packed.cast("int")
-
-
-def overlaps(m: Column, spans: Column) -> Column:
-    return F.exists(spans, lambda s: (s["start"] < m["end"]) & (m["start"] < s["end"]))
+
+    def vector(v):
+        seps, before, after = v["seps"], v["before"], v["after"]
+        style = F.when(F.length(seps) == 0, 0).when(seps.rlike(r"^ +$"), 1).when(seps.rlike(r"^-+$"), 2).when(seps.rlike(r"^\.+$"), 3).when(seps.rlike(r"[(]"), 4).otherwise(5)
+        cue = F.lit(0)
+        for i, (_, names) in enumerate(CUES):
+            cue = F.when(before.rlike(rf"\b(?:{names})"), i + 1).otherwise(cue)
+        edge = F.regexp_replace(F.right(before, F.lit(2)), r"\+", " ")  # the plus sign is what the base rule tests
+        left = F.when(edge.rlike(r"(?:^|[\s])$"), 0).when(edge.rlike(r"[$#€£%]$"), 1).when(edge.rlike(r"[\p{L}\p{N}_]$"), 2).otherwise(3)
+        right = F.when((after == "") | after.rlike(r"\s"), 0).when(after.rlike("[%€$£]"), 1).when(after.rlike(r"[\p{L}\p{N}_]"), 2).otherwise(3)
+        values = (F.lit(shape), bucket(v["digits"], [1, 7, 9, 10, 11, 14, 17]), F.least(F.length(seps), F.lit(4)), style, cue, left, right)
+        packed = F.lit(0)
+        for value, n in zip(values, LEVELS):
+            packed = packed * n + value
+        return packed.cast("int")
+
+    made = F.struct(F.length(only_digits(m["hit"])).alias("digits"), F.regexp_replace(m["hit"], r"[^ ().\-\[\]]", "").alias("seps"), F.lower(m["before"]).alias("before"), m["after"].alias("after"))
+    return S.let(made, vector)
 
 
 def find_candidates(docs: DataFrame, text: str = "text", p: str = "__pii_") -> DataFrame:
-    """``docs`` with p+base (arrays of (start, ord, end)), p+refused and p+wide: (start, end, ord, cell, good)."""
+    """``docs`` with p+base (arrays of (start, ord, end)), p+half and p+wide: (start, end, ord, cell, good, tried)."""
     t = F.col(p + "text")
     number = t.rlike("[0-9]")
     out = docs.withColumn(p + "text", F.coalesce(F.col(text), F.lit("")))
     out = out.withColumns({p + "may": number, p + "at": F.contains(t, F.lit("@"))})
     may = F.col(p + "may")
     raw = {"email": S.matches(t, EMAIL, F.col(p + "at")), "ip": S.matches(t, IP, may), "card": S.matches(t, CARD, may), "phone": S.matches(t, PHONE, may & F.contains(t, F.lit("+")))}
-    wide = {"contact": S.matches(t, WIDE_CONTACT, F.col(p + "at") | F.contains(F.lower(t), F.lit("at]")) | F.contains(F.lower(t), F.lit("at)"))), "number": S.matches(t, WIDE_NUMBER, may)}
+    spelled_out = F.col(p + "at") | F.contains(t, F.lit("at]")) | F.contains(t, F.lit("at)"))
+    wide = {"contact": S.matches(t, WIDE_CONTACT, spelled_out, context=CONTEXT), "number": S.matches(t, WIDE_NUMBER, may, context=CONTEXT)}
     out = out.withColumns({p + k: v for k, v in (raw | wide).items()})
     checks = {"email": lambda m: F.lit(True), "ip": good_ip, "card": lambda m: good_card(m), "phone": good_phone}
     good = [F.filter(F.col(p + k), checks[k]) for k in KINDS[:BASE]]
     out = out.withColumns({p + "base": S.ordered(good), p + "tried": S.ordered([F.col(p + "ip"), F.filter(F.col(p + "card"), lambda m: F.length(only_digits(m["hit"])) >= 14), F.col(p + "phone")])})
 
+    out = out.withColumns({p + "known": S.overlapped(F.col(p + "base")), p + "refused": S.overlapped(F.col(p + "tried"))})
+
     def vector(m, ord, shape):
-        known = overlaps(m, F.col(p + "base"))
-        return F.struct(m["start"].alias("start"), m["end"].alias("end"), F.lit(ord).alias("ord"), features(t, m, shape).alias("cell"), known.alias("good"), overlaps(m, F.col(p + "tried")).alias("tried"))
+        return F.struct(m["start"].alias("start"), m["end"].alias("end"), F.lit(ord).alias("ord"), features(m, shape).alias("cell"), S.overlaps(m, F.col(p + "known")).alias("good"), S.overlaps(m, F.col(p + "refused")).alias("tried"))
 
     made = F.concat(F.transform(F.col(p + "contact"), lambda m: vector(m, 4, 0)), F.transform(F.col(p + "number"), lambda m: vector(m, 5, 1)))
-    return out.withColumn(p + "wide", made).drop(p + "text", p + "may", p + "at", p + "tried", *[p + k for k in KINDS])
+    half = F.pmod(F.xxhash64(p + "text"), F.lit(2)).cast("int")
+    return out.withColumns({p + "wide": made, p + "half": half}).drop(p + "text", p + "may", p + "at", p + "tried", p + "known", p + "refused", *[p + k for k in KINDS])
 
 
 @dataclass
@@ -143,67 +151,68 @@ def unpacked(cell: int) -> tuple[int, ...]:
     return tuple(reversed(out))
 
 
-def scored(trees, bias: float, x) -> float:
-    return bias + sum(leaves[2 * (x[f] >= b) + (x[sides[x[f] >= b][0]] >= sides[x[f] >= b][1])] for (f, b), sides, leaves in trees)
+def scored(trees, bias: float, x: np.ndarray) -> np.ndarray:
+    """Scores of the rows of x, as ``score`` gives them."""
+    out = np.full(len(x), bias)
+    for (f, b), sides, leaves in trees:
+        top = x[:, f] >= b
+        low, high = x[:, sides[0][0]] >= sides[0][1], x[:, sides[1][0]] >= sides[1][1]
+        out += np.where(top, np.where(high, leaves[3], leaves[2]), np.where(low, leaves[1], leaves[0]))
+    return out
+
+
+def best_split(x: np.ndarray, g: np.ndarray, h: np.ndarray) -> tuple[int, int]:
+    """(feature, border) of the greatest gain, from one histogram a feature; the first of equal ones."""
+    top, G, H = (0.0, (0, 99)), g.sum(), h.sum()
+    for f, n in enumerate(LEVELS):
+        a = np.cumsum(np.bincount(x[:, f], g, n)[::-1])[::-1]
+        c = np.cumsum(np.bincount(x[:, f], h, n)[::-1])[::-1]
+        gain = a**2 / (c + 1) + (G - a) ** 2 / (H - c + 1) - G**2 / (H + 1)
+        for b in range(1, n):
+            if gain[b] > top[0] + 1e-9:
+                top = (float(gain[b]), (f, b))
+    return top[1]
 
 
-def boost(cells: list[tuple[tuple[int, ...], int, int]], rounds: int = ROUNDS, rate: float = RATE) -> tuple[list, float]:
-    """Newton boosting of the logistic loss over counted feature vectors (vector, positives, all)."""
-    pos, n = sum(c[1] for c in cells), sum(c[2] for c in cells)
-    bias = math.log((pos + 1) / (n - pos + 1))
-    score = [bias] * len(cells)
-    splits = [(f, b) for f, k in enumerate(LEVELS) for b in range(1, k)]
-    trees = []
+def boost(x: np.ndarray, pos: np.ndarray, n: np.ndarray, rounds: int = ROUNDS, rate: float = RATE) -> tuple[list, float]:
+    """Newton boosting of the logistic loss over counted feature vectors: rows of x, with their positives of n."""
+    bias = math.log((pos.sum() + 1) / (n.sum() - pos.sum() + 1))
+    score, trees = np.full(len(x), bias), []
     for _ in range(rounds):
-        g, h = [], []
-        for s, (_, k, m) in zip(score, cells):
-            q = 1 / (1 + math.exp(-s))
-            g.append(k - m * q)
-            h.append(m * q * (1 - q))
-
-        def best(rows):
-            top, G, H = (0.0, (0, 99)), sum(g[i] for i in rows), sum(h[i] for i in rows)
-            for f, b in splits:
-                right = [i for i in rows if cells[i][0][f] >= b]
-                a, c = sum(g[i] for i in right), sum(h[i] for i in right)
-                gain = a * a / (c + 1) + (G - a) ** 2 / (H - c + 1) - G * G / (H + 1)
-                if gain > top[0] + 1e-12:
-                    top = (gain, (f, b))
-            return top[1]
-
-        rows = range(len(cells))
-        f, b = best(rows)
-        halves = [[i for i in rows if (cells[i][0][f] >= b) == side] for side in (False, True)]
-        sides = tuple(best(half) for half in halves)
+        q = 1 / (1 + np.exp(-score))
+        g, h = pos - n * q, n * q * (1 - q)
+        f, b = best_split(x, g, h)
+        top = x[:, f] >= b
+        sides = tuple(best_split(x[half], g[half], h[half]) for half in (~top, top))
         leaves = []
-        for half, (f2, b2) in zip(halves, sides):
+        for half, (f2, b2) in zip((~top, top), sides):
             for side in (False, True):
-                part = [i for i in half if (cells[i][0][f2] >= b2) == side]
-                value = rate * sum(g[i] for i in part) / (sum(h[i] for i in part) + 1)
-                leaves.append(value)
-                for i in part:
-                    score[i] += value
+                part = half & ((x[:, f2] >= b2) == side)
+                leaves.append(float(rate * g[part].sum() / (h[part].sum() + 1)))
+                score[part] += leaves[-1]
         trees.append(((f, b), sides, tuple(leaves)))
     return trees, bias
 
 
 def fit(found: DataFrame, p: str = "__pii_", *, precision: float = PRECISION) -> Model:
-    """Boost on the counts of all candidates; the threshold is the least score above which precision holds.
+    """Boost on the candidates of one half of the texts; on the other half's, the threshold is the least
+    score above which precision holds.
 
-    The table collected has a row per feature vector that occurs, ``CELLS`` at most.
+    The table collected has a row per feature vector that occurs and half, ``2 * CELLS`` at most.
     """
-    one = F.explode(p + "wide")
-    counted = found.select(one.alias("c")).groupBy("c.cell").agg(F.sum(F.col("c.good").cast("int")).alias("k"), F.count(F.lit(1)).alias("n"))
-    cells = sorted((unpacked(r["cell"]), r["k"], r["n"]) for r in counted.collect())
-    pos, n = sum(c[1] for c in cells), sum(c[2] for c in cells)
-    if not pos or pos == n:
+    one = found.select(p + "half", F.explode(p + "wide").alias("c"))
+    counted = one.groupBy(F.col(p + "half").alias("half"), "c.cell").agg(F.sum(F.col("c.good").cast("int")).alias("k"), F.count(F.lit(1)).alias("n"))
+    rows = sorted((r["half"], unpacked(r["cell"]), r["k"], r["n"]) for r in counted.collect())
+    learn, hold = ([r[1:] for r in rows if r[0] == half] for half in (0, 1))
+    pos, n = sum(c[1] for c in learn), sum(c[2] for c in learn)
+    if not hold or not pos or pos == n:
         return Model([], 0.0, math.inf)
-    trees, bias = boost(cells)
-    by = sorted(((scored(trees, bias, x), k, m) for x, k, m in cells), reverse=True)
+    trees, bias = boost(*[np.array(c) for c in zip(*learn)])
+    by = sorted(zip(scored(trees, bias, np.array([c[0] for c in hold])).tolist(), [c[1] for c in hold], [c[2] for c in hold]), reverse=True)
     threshold, got, seen = math.inf, 0, 0
-    for s, k, m in by:
+    for i, (s, k, m) in enumerate(by):
         got, seen = got + k, seen + m
-        if seen >= LEAST_SUPPORT and got / seen >= precision:
+        if seen >= LEAST_SUPPORT and got / seen >= precision and (i + 1 == len(by) or by[i + 1][0] < s):
             threshold = s
     return Model(trees, bias, threshold)
 
@@ -231,13 +240,13 @@ def select(found: DataFrame, model: Model, p: str = "__pii_", prefix: str = "")
         chosen = F.filter(wide, lambda c: ~c["good"] & ~c["tried"] & (score(model, c["cell"]) >= model.threshold - 1e-9))
         added = F.transform(chosen, lambda c: F.struct(c["start"].alias("start"), c["ord"].alias("ord"), c["end"].alias("end")))
     every = F.when(F.size(wide) > 0, F.array_sort(F.concat(base, added))).otherwise(base)
-    return found.withColumns({prefix + "base_spans": base, prefix + "spans": every}).drop(p + "base", p + "wide")
+    return found.withColumns({prefix + "base_spans": base, prefix + "spans": every}).drop(p + "base", p + "wide", p + "half")
 
 
 def redact(docs: DataFrame, text: str = "text", **options) -> DataFrame:
-    """``docs`` with every found span of ``text`` replaced by its kind; one pass fits, one applies."""
+    """``docs`` with every found span of ``text`` replaced by its kind.  The candidates are found once and stored for fitting and applying."""
     own = docs.columns
-    model = fit(find_candidates(docs.select(text), text), **options)
-    got = select(find_candidates(docs, text), model, prefix="__pii_out_")
+    found = stored(find_candidates(docs, text))
+    got = select(found, fit(found, **options), prefix="__pii_out_")
     clean = F.when(F.col(text).isNotNull(), S.redacted(F.col(text), F.col("__pii_out_spans"), KINDS))
     return got.withColumn(text, clean).select(*own)

@@ -2,14 +2,17 @@
 
 Each rule's regular expression is parsed into a Boolean query over the trigrams that any match must
 hold: concatenations AND their literal runs, alternations OR their branches, and what is optional or
-unbounded adds nothing.  The index holds postings for exactly the trigrams the rules ask for, over
-case-folded text; a rule's candidates are the intersections and unions of its postings, and only
-those rows are verified with the regular expression.  A rule without mandatory trigrams (runs of hex)
-scans every row.
+unbounded adds nothing.
 
-The postings are sharded by document: a row's postings live in its own row, so lists are intersected
-where the text already is, and nothing is shuffled or gathered, whatever the size or skew of the
-corpus.  ``postings`` gives the same index as a table by trigram, for repeated searches.
+The index covers exactly the trigrams that the rules ask for, over case-folded text.  A text is known
+by the hash of its content, so copies are one entry; texts are dealt by that hash into blocks of about
+``BLOCK_TEXTS``, and a posting list is the sorted texts of one block that hold one trigram.  A rule's
+candidates are the intersections and unions of the block's lists, as its query says.  Only those
+texts are verified with the regular expression; a rule without mandatory trigrams (runs of hex)
+scans every text fully.  Texts that share a hash share an entry, which may add a candidate, never lose one.
+
+Candidates meet the documents by content hash: broadcast while they are counted to be few
+(``BROADCAST_ROWS``), by a shuffled join beyond that.  Lists are bounded by the block, whatever the skew.
 
 Native: DataFrame functions only.  Defined cases: null and empty texts have no spans; a repeated row
 gets the same spans again; other columns, of any name, are carried through.
@@ -24,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from caselode.llm import spans as S
+from caselode.llm.shared import checkpointed
 
 #: Kind, pattern for the index, Java's pattern, group whose length counts, its least length.
 RULES = (
@@ -40,6 +44,8 @@ RULES = (
 BASE = 3
 ANY = ("any",)
 MOST_STRINGS = 32
+BLOCK_TEXTS, BROADCAST_ROWS = 4096, 1 << 20
+WORD_BITS = 62
 
 
 def both(op: str, a: tuple, b: tuple) -> tuple:
@@ -118,46 +124,83 @@ def vocabulary(rules=RULES) -> list[str]:
     return sorted(set().union(*(asked(trigram_query(r[1])) for r in rules)))
 
 
-def row_postings(text: Column, vocab: list[str]) -> Column:
-    """Of the vocabulary, the trigrams that occur in the case-folded text."""
-    low = F.lower(text)
-    return F.filter(F.array(*[F.lit(t) for t in vocab]), lambda t: F.contains(low, t))
+def text_key(text: Column) -> Column:
+    return F.xxhash64(text)
+
+
+def held_trigrams(docs: DataFrame, text: Column, vocab: list[str]) -> DataFrame:
+    """(key, mask0, mask1 ..) per different text that holds a trigram: bit i of the masks says that it holds the i-th.
+
+    The only pass over the texts that the index takes: each is folded once.
+    """
+    low = docs.select(F.coalesce(text, F.lit("")).alias("text")).select(text_key(F.col("text")).alias("key"), F.lower("text").alias("low"))
+    masks = []
+    for a in range(0, len(vocab), WORD_BITS):
+        bits = [F.when(F.contains("low", F.lit(t)), 1 << i).otherwise(0) for i, t in enumerate(vocab[a : a + WORD_BITS])]
+        total = bits[0].cast("long")
+        for b in bits[1:]:
+            total = total.bitwiseOR(b.cast("long"))
+        masks.append(total.alias(f"mask{a // WORD_BITS}"))
+    names = [f"mask{k}" for k in range(len(masks))]
+    return low.select("key", *masks).where(" or ".join(f"{n} <> 0" for n in names)).groupBy("key").agg(*[F.bit_or(n).alias(n) for n in names])
+
+
+def postings(docs: DataFrame, text: str = "text", rules=RULES, block_texts: int = BLOCK_TEXTS) -> DataFrame:
+    """The index: (block, trigram, keys), a sorted posting list for each block and trigram."""
+    vocab = vocabulary(rules)
+    held = checkpointed(held_trigrams(docs, F.col(text), vocab))
+    blocks = held.count() // block_texts + 1
+    dealt = held.withColumn("block", F.pmod("key", F.lit(blocks))).repartition("block")
+    found = [F.when(F.col(f"mask{i // WORD_BITS}").bitwiseAND(F.lit(1 << i % WORD_BITS)) != 0, F.lit(t)) for i, t in enumerate(vocab)]
+    entries = dealt.select("block", "key", F.explode(F.array_compact(F.array(*found))).alias("trigram"))
+    return entries.groupBy("block", "trigram").agg(F.array_sort(F.collect_list("key")).alias("keys"))
 
 
-def candidate(query: tuple, held: Column) -> Column:
-    if query[0] == "any":
-        return F.lit(True)
+def matching(query: tuple, lists: Column) -> Column:
+    """The keys that satisfy ``query``, from a block's map of posting lists."""
     if query[0] == "has":
-        return F.array_contains(held, query[1])
-    a, b = candidate(query[1], held), candidate(query[2], held)
-    return a & b if query[0] == "and" else a | b
+        return F.coalesce(F.try_element_at(lists, F.lit(query[1])), F.array().cast("array<bigint>"))
+    a, b = matching(query[1], lists), matching(query[2], lists)
+    return F.array_intersect(a, b) if query[0] == "and" else F.array_union(a, b)
 
 
-def long_enough(least: int):
-    return lambda m: F.length(m["part"]) >= least
+def candidates(index: DataFrame, rules=RULES) -> DataFrame:
+    """(key, rules): bit k of rules says that the text may match the k-th rule."""
+    block = index.groupBy("block").agg(F.map_from_entries(F.collect_list(F.struct("trigram", "keys"))).alias("lists"))
+    queries = [(k, trigram_query(r[1])) for k, r in enumerate(rules)]
 
+    def marked(k):
+        return lambda key: F.struct(key.alias("key"), F.lit(1 << k).cast("long").alias("rule"))
 
-def postings(docs: DataFrame, text: str = "text", key: str = "doc_id", rules=RULES) -> DataFrame:
-    """The index by trigram: (trigram, key), one row per posting."""
-    held = row_postings(F.coalesce(F.col(text), F.lit("")), vocabulary(rules))
-    return docs.select(F.explode(held).alias("trigram"), F.col(key).alias(key))
+    found = [F.transform(matching(q, F.col("lists")), marked(k)) for k, q in queries if q != ANY]
+    if not found:
+        return index.select(F.lit(0).cast("long").alias("key"), F.lit(0).cast("long").alias("rules")).limit(0)
+    return block.select(F.explode(F.concat(*found)).alias("c")).groupBy("c.key").agg(F.bit_or("c.rule").alias("rules"))
 
 
-def scan(docs: DataFrame, text: str = "text", *, rules=RULES, prefix: str = "") -> DataFrame:
+def long_enough(least: int):
+    return lambda m: F.length(m["part"]) >= least
+
+
+def scan(docs: DataFrame, text: str = "text", *, rules=RULES, prefix: str = "", block_texts: int = BLOCK_TEXTS, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """``docs`` with ``spans`` and ``base_spans``: arrays of (start, ord, end), ord numbering the rules."""
     p = "__secret_"
-    vocab = vocabulary(rules)
+    own = docs.columns
+    some = checkpointed(candidates(postings(docs, text, rules, block_texts), rules)).select(F.col("key").alias(p + "key"), F.col("rules").alias(p + "rules"))
+    if some.count() <= broadcast_rows:
+        some = F.broadcast(some)
     out = docs.withColumn(p + "text", F.coalesce(F.col(text), F.lit("")))
-    out = out.withColumn(p + "held", row_postings(F.col(p + "text"), vocab))
+    out = out.join(some, text_key(F.col(p + "text")) == F.col(p + "key"), "left")
     found = {}
-    for kind, pattern, java, group, least in rules:
-        may = candidate(trigram_query(pattern), F.col(p + "held"))
+    for k, (kind, pattern, java, group, least) in enumerate(rules):
+        scans = trigram_query(pattern) == ANY
+        may = F.lit(True) if scans else F.coalesce(F.col(p + "rules").bitwiseAND(F.lit(1 << k)) != 0, F.lit(False))
         hits = S.matches(F.col(p + "text"), java or pattern, may, group)
         found[p + kind] = F.filter(hits, long_enough(least))
     out = out.withColumns(found)
     every = S.ordered([F.col(p + r[0]) for r in rules])
     base = S.ordered([F.col(p + r[0]) for r in rules[:BASE]])
-    return out.withColumns({prefix + "spans": every, prefix + "base_spans": base}).drop(p + "text", p + "held", *found)
+    return out.select(*own, *[F.col(p + r[0]) for r in rules]).withColumns({prefix + "spans": every, prefix + "base_spans": base}).drop(*found)
 
 
 def kinds(rules=RULES) -> list[str]:

@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import time
 
 import numpy as np
 import plain
@@ -138,6 +139,50 @@ def test_quality_base_columns(spark, awkward):
     assert not any(r["kept"] for r in got if r["base_failed"])
 
 
+def test_structured_lines_words_and_passages_are_told_apart(spark):
+    """Strings whose polynomial hashes modulo powers of two agree for every odd base."""
+    one = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    two = one.translate(str.maketrans("ab", "ba"))
+    (row,) = quality_bands.judge(spark.createDataFrame([(1, f"{one}\n{two}\n{one}")], DOCS)).collect()
+    assert (row["n_dup_lines"], row["n_repeat_words"]) == (1, 0)
+    passages = [" ".join(f"{w} p{i}" for i in range(8)) for w in (one, two, one)]
+    rows = list(enumerate(passages))
+    frame = spark.createDataFrame(rows, DOCS)
+    got = substring_dedup.remove_repeats(frame).select("id", "n_words", "n_removed", F.sha2("kept", 256)).collect()
+    assert by_id(got) == by_id(plain.substring_dedup(rows)) and sorted(r["n_removed"] for r in got) == [0, 0, 16]
+    assert {r["id"]: r["component_id"] for r in minhash_dedup.group(frame).collect()} == {0: 0, 1: 1, 2: 0}
+    words = [" ".join("AB"[bin(i + x).count("1") % 2] for i in range(1024)) for x in (0, 1024)]
+    assert {r["id"]: (r["n_shingles"], r["component_id"]) for r in minhash_dedup.group(spark.createDataFrame(list(enumerate(words)), DOCS), shingle=3, percent=85).collect()} == plain.near_groups(list(enumerate(words)))
+
+
+def test_substring_dedup_compacts_paths_and_names_their_sources(spark):
+    rng = random.Random(21)
+    passage = [f"p{i}" for i in range(200)]
+    rows = [(0, prose(rng, 40, (" ",)) + " ".join(passage)), (1, " ".join(passage) + " " + prose(rng, 40, (" ",))), (2, prose(rng, 30, (" ",)) + " ".join(passage[50:150]) + " end")]
+    rows += [(10 + i, " ".join([*passage[:5], rng.choice(VOCAB), *passage[5:25]]) + f" u{i} " + " ".join(passage[100:120])) for i in range(60)]  # one minimizer, many contents
+    frame = spark.createDataFrame(rows, DOCS)
+    got = substring_dedup.remove_repeats(frame)
+    assert by_id(got.select("id", "n_words", "n_removed", F.sha2("kept", 256)).collect()) == by_id(plain.substring_dedup(rows))
+    by = {r["id"]: r for r in got.collect()}
+    assert by[1]["n_removed"] == 200 and [(s["start"], s["end"]) for s in by[1]["spans"]] == [(0, 200)]
+    texts = {i: t.split() for i, t in rows}
+    for i, r in by.items():
+        for s in r["sources"]:
+            n = s["end"] - s["start"]
+            assert s["source"] < i and texts[i][s["start"] : s["end"]] == texts[s["source"]][s["source_start"] : s["source_start"] + n]
+    known = frame.select(F.col("doc_id").alias("id"), "text")
+    segments = substring_dedup.repeated_segments(known.where("id < 2"), 13, 5)
+    assert [r["edges"] for r in substring_dedup.paths(segments).collect()] and substring_dedup.paths(segments).count() < segments.where("many").count() / 5
+
+
+def test_quality_judges_the_tail(spark):
+    rng = random.Random(4)
+    clean = " ".join("".join(rng.choice("bdfgklmn") + rng.choice("aeiou") for _ in range(rng.randrange(1, 4))) for _ in range(1400))[:4200]
+    noise = "".join(chr(rng.randrange(33, 127)) for _ in range(3500))
+    got = {r["doc_id"]: (r["n_chunks"], r["n_bad_chunks"]) for r in quality_bands.judge(spark.createDataFrame([(1, clean[:4096]), (2, clean), (3, clean + noise), (4, "x" * 100_000)], DOCS)).collect()}
+    assert got == {1: (0, 0), 2: (2, 0), 3: (2, 1), 4: (25, 25)}
+
+
 def test_quality_bands_reject_noise_and_repeats(spark):
     rng = random.Random(4)
     syllables = [a + b + c for a in "bdfgklmnprst" for b in "aeiou" for c in ("", "n", "r", "s")]
@@ -221,7 +266,44 @@ def test_trigram_queries_hold_for_every_match(spark):
     frame = spark.createDataFrame([(1, " ".join(SAMPLES.values()))], DOCS)
     found = secret_scan.scan(frame).select(S.spelled(F.col("spans"), secret_scan.kinds()).alias("s")).first()["s"]
     assert {x.split(":")[0] for x in found.split(",")} >= set(SAMPLES) - {"hex"}
-    assert {(r["trigram"], r["doc_id"]) for r in secret_scan.postings(frame).collect()} >= {("aki", 1), ("eyj", 1)}
+    lists = {r["trigram"]: r["keys"] for r in secret_scan.postings(frame).collect()}
+    assert len(lists["aki"]) == 1 and lists["aki"] == lists["eyj"] and "xoz" not in lists
+
+
+def test_posting_lists_in_small_blocks_and_a_shuffled_join(spark):
+    rng = random.Random(5)
+    texts = [" ".join([prose(rng, 8), rng.choice(list(SAMPLES.values()) + ["pass the word", "tok oke ken"])]) for _ in range(60)] + SECRET
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts * 2)], DOCS)
+    index = secret_scan.postings(frame, block_texts=8)
+    assert index.select("block").distinct().count() > 3
+    held = {r["key"]: r["rules"] for r in secret_scan.candidates(index).collect()}
+    keyed = [(r["text"], held.get(r["k"], 0)) for r in frame.select("text", secret_scan.text_key(F.coalesce("text", F.lit(""))).alias("k")).collect()]
+
+    def holds(query, text):
+        if query[0] == "has":
+            return query[1] in text
+        return (all if query[0] == "and" else any)(holds(q, text) for q in query[1:])
+
+    for k, (_, pattern, *_) in enumerate(secret_scan.RULES):
+        query = secret_scan.trigram_query(pattern)
+        if query != secret_scan.ANY:
+            assert all(bool(rules >> k & 1) == holds(query, (t or "").lower()) for t, rules in keyed)
+    one, two = (by_id(secret_scan.scan(frame, broadcast_rows=n).select("doc_id", S.spelled(F.col("base_spans"), secret_scan.kinds())).collect()) for n in (0, 1000))
+    assert one == two == by_id((i, plain.spelled(plain.spans(t, plain.SECRETS))) for i, t in enumerate(texts * 2))
+
+
+def test_spans_of_very_many_matches(spark):
+    text = "x" + " ".join(str(10**9 + i) for i in range(8000)) + " joe@x.io"
+    frame = spark.createDataFrame([(1, text), (2, "")], DOCS)
+    got = frame.select(F.explode(S.matches(F.col("text"), "[0-9]{10}", F.lit(True), context=12)).alias("m")).select("m.*").collect()
+    want = [m.span() for m in re.finditer("[0-9]{10}", text)]
+    assert [(r["start"], r["end"]) for r in got] == want
+    assert all(r["before"] == text[max(0, a - 12) : a] and r["after"] == text[b : b + 1] for r, (a, b) in zip(got, want))
+    start = time.time()
+    found = pii.find_candidates(frame)
+    spans = pii.select(found, pii.Model([], 0.0, math.inf)).select("doc_id", S.spelled(F.col("base_spans"), pii.KINDS)).collect()
+    assert by_id(spans) == by_id((i, plain.spelled(plain.spans(t, plain.PII))) for i, t in ((1, text), (2, "")))
+    assert time.time() - start < 60
 
 
 def test_mixing(spark, awkward):
