@@ -7,9 +7,13 @@ which are shuffled by hash and cut into blocks of equally many words (after the
 the first again, so a pass repeats only when the source is used up).  The last slot of a source is
 cut so that the source gets its target to the word.
 
+A document's first slot is the one that reads its first word; sorting by it gives the mixture's order.
+
 Native: DataFrame functions only.  Nothing runs over a source in one task: prefix sums and ranks are
 made in two levels, inside hash-range chunks (one for every ``CHUNK_ROWS`` rows of the table) and
-over the chunks' totals, so a source with a third of all rows spreads over all tasks.
+over the chunks' totals, so a source with a third of all rows spreads over all tasks.  Running sums
+over the sources, and the meeting of points and intervals, work the same way over value ranges
+(``before_each``, ``last_before``), so the sources may be many, too.
 
 Defined cases: null and empty texts have size 0 and are never taken; the null source is a source,
 last in order; equal rows are interchangeable; an empty table gives an empty schedule; extra columns
@@ -42,24 +46,52 @@ def source_key(source: Column) -> Column:
     return F.coalesce(F.concat(F.lit("0"), source.cast("string")), F.lit("1"))
 
 
+def ranges(df: DataFrame, *order) -> DataFrame:
+    """``df`` dealt into value ranges, with the range's number; checkpointed, as a recomputed deal may differ."""
+    return checkpointed(df.repartitionByRange(*order).withColumn("range", F.spark_partition_id()))
+
+
+def before_each(df: DataFrame, order: list[str], sums: dict[str, str]) -> DataFrame:
+    """``df`` with running sums of what comes before each row: name -> SQL of the value.  Two levels, no single task."""
+    dealt = ranges(df, *order)
+    totals = dealt.groupBy("range").agg(*[F.sum(F.expr(v)).alias(n) for n, v in sums.items()])
+    earlier = W.partitionBy(F.lit(0)).orderBy("range").rowsBetween(W.unboundedPreceding, -1)  # a row per range
+    base = totals.select("range", *[F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias("base_" + n) for n in sums])
+    inside = W.partitionBy("range").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    named = dealt.join(base, "range")
+    return named.withColumns({n: F.col("base_" + n) + F.coalesce(F.sum(F.expr(v)).over(inside), F.lit(0)) for n, v in sums.items()}).drop("range", *["base_" + n for n in sums])
+
+
+def last_before(points: DataFrame, starts: DataFrame, at: str, name: str) -> DataFrame:
+    """``points`` with the ``name`` of the last of ``starts`` at or below their ``at``; both sorted together in value ranges."""
+    both = points.unionByName(starts, allowMissingColumns=True).withColumn("kind", F.when(F.col(name).isNull(), 1).otherwise(0))
+    dealt = ranges(both, at, "kind")
+    lasts = dealt.where("kind = 0").groupBy("range").agg(F.max_by(name, at).alias("last"))
+    every = dealt.select("range").distinct().join(lasts, "range", "left")
+    base = every.select("range", F.last("last", True).over(W.partitionBy(F.lit(0)).orderBy("range").rowsBetween(W.unboundedPreceding, -1)).alias("base"))
+    inside = W.partitionBy("range").orderBy(at, "kind").rowsBetween(W.unboundedPreceding, 0)
+    found = dealt.join(base, "range").withColumn("found", F.coalesce(F.last(name, True).over(inside), "base"))
+    return found.where("kind = 1").drop(name, "kind", "range", "base").withColumnRenamed("found", name)
+
+
 def targets(sized: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
     """(skey, source_size, source_rows, weight, target) per source, by water-filling in closed form.
 
     Sorted by capacity over weight, a source is capped exactly when its capacity does not exceed its
-    weight's part of what the sources before it leave.  The windows here run over one row per source.
+    weight's part of what the sources before it leave.
     """
     per = sized.groupBy("skey").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("source_rows"))
-    order = F.pmod(F.row_number().over(W.orderBy("skey")) - 1, F.lit(len(weights)))
-    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (order + 1).cast("int"))
-    per = per.withColumn("weight", weight).withColumn("cap", F.col("source_size") * F.lit(float(most)))
-    ranked = W.orderBy(F.col("cap") / F.col("weight"), "skey")
-    before = ranked.rowsBetween(W.unboundedPreceding, -1)
-    every = W.partitionBy(F.lit(0)).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    level = (F.sum(F.col("source_size")).over(every) * F.lit(share) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / (F.sum("weight").over(every) - F.coalesce(F.sum("weight").over(before), F.lit(0.0)))
-    per = per.withColumn("level", level).withColumn("capped", F.col("cap") <= F.col("level") * F.col("weight"))
+    per = before_each(per, ["skey"], {"place": "1"})
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod("place", F.lit(len(weights))) + 1).cast("int"))
+    per = per.withColumn("weight", weight).withColumn("cap", F.col("source_size") * F.lit(float(most))).withColumn("ratio", F.col("cap") / F.col("weight"))
+    per = before_each(per, ["ratio", "skey"], {"caps": "cap", "weights": "weight"})
+    whole = per.agg(F.sum("source_size").alias("all_words"), F.sum("weight").alias("all_weights"))  # one row
+    level = (F.col("all_words") * F.lit(share) - F.col("caps")) / (F.col("all_weights") - F.col("weights"))
+    per = per.join(F.broadcast(whole)).withColumn("level", level).withColumn("capped", F.col("cap") <= F.col("level") * F.col("weight"))
     # all capped sources precede the others; the level of the first that isn't capped holds for all of those
-    free = F.min(F.when(~F.col("capped"), F.struct(F.col("cap") / F.col("weight"), F.col("skey"), F.col("level")))).over(every)
-    return per.withColumn("free", free).select("skey", "source_size", "source_rows", "weight", F.when(F.col("capped"), F.col("cap")).otherwise(F.col("free.level") * F.col("weight")).alias("target"))
+    free = per.agg(F.min(F.when(~F.col("capped"), F.struct("ratio", "skey", "level"))).alias("free"))  # one row
+    target = F.when(F.col("capped"), F.col("cap")).otherwise(F.col("free.level") * F.col("weight"))
+    return per.join(F.broadcast(free)).select("skey", "source_size", "source_rows", "weight", target.alias("target"))
 
 
 def shuffled(sized: DataFrame, chunks: int) -> DataFrame:
@@ -84,21 +116,19 @@ def block_words(total: int) -> int:
 def schedule(spark: SparkSession, per_source: DataFrame, total: int, words: int, share: float = SHARE, slots_per_chunk: int = 1 << 16) -> DataFrame:
     """(slot, skey, rank, block, pass, words): the order in which blocks are read.
 
-    The points come from a distributed range; the small interval table is one row per source.  Ranks
+    The points come from a distributed range and fall on the sources' intervals by sorting both.  Ranks
     are counts of the source's slots in earlier chunks plus the row number in the chunk.  A source
     that the points leave short of its target by a few slots gets those at the end.
     """
     need = per_source.where(F.col("target") > 0).select("skey", "source_size", "target", F.round("target").cast("long").alias("take"))
     need = need.withColumn("blocks", F.ceil(F.col("source_size") / words)).withColumn("passes", F.floor(F.col("take") / F.col("source_size"))).withColumn("rest", F.col("take") - F.col("passes") * F.col("source_size"))
     need = need.withColumn("slots", F.col("passes") * F.col("blocks") + F.ceil(F.col("rest") / words))
-    w = W.orderBy("skey").rowsBetween(W.unboundedPreceding, 0)
-    whole = F.sum("target").over(W.partitionBy(F.lit(0)))
-    need = need.withColumn("high", F.sum("target").over(w) / whole).withColumn("low", F.lag("high", 1, 0.0).over(W.orderBy("skey")))
+    need = checkpointed(need)
+    whole = need.agg(F.sum("target").alias("whole")).first()["whole"] or 1.0
+    low = before_each(need.select("skey", "target"), ["skey"], {"below": "target"}).select((F.col("below") / F.lit(whole)).alias("point"), "skey")
     n = int(total * share // words) + 1
-    cells = 1024  # the unit interval in cells, so that point and source meet by an equality
-    spread = need.select("skey", "low", "high", F.explode(F.sequence(F.floor(F.col("low") * cells), F.least(F.lit(cells - 1), F.floor(F.col("high") * cells)))).alias("cell"))
-    slots = spark.range(n).select(F.col("id").alias("slot"), F.pmod((F.col("id") + 1) * F.lit(GOLDEN), F.lit(1.0)).alias("point")).withColumn("cell", F.floor(F.col("point") * cells))
-    drawn = slots.join(spread, (slots["cell"] == spread["cell"]) & (F.col("point") >= F.col("low")) & (F.col("point") < F.col("high"))).select("slot", "skey", F.floor(F.col("slot") / slots_per_chunk).alias("chunk"))
+    slots = spark.range(n).select(F.col("id").alias("slot"), F.pmod((F.col("id") + 1) * F.lit(GOLDEN), F.lit(1.0)).alias("point"))
+    drawn = last_before(slots, low, "point", "skey").where("skey is not null").select("slot", "skey", F.floor(F.col("slot") / slots_per_chunk).alias("chunk"))
     counts = drawn.groupBy("skey", "chunk").agg(F.count(F.lit(1)).alias("n"))
     before = counts.select("skey", "chunk", (F.sum("n").over(W.partitionBy("skey").orderBy("chunk")) - F.col("n")).alias("before"))
     inside = F.row_number().over(W.partitionBy("skey", "chunk").orderBy("slot")) - 1
@@ -114,7 +144,7 @@ def schedule(spark: SparkSession, per_source: DataFrame, total: int, words: int,
 
 
 def mix(docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", *, weights=WEIGHTS, share: float = SHARE, most: int = MOST, chunk_rows: int = CHUNK_ROWS) -> tuple[DataFrame, DataFrame]:
-    """((key, skey, size, taken, source_size, target) per document; the schedule of slots).
+    """((key, skey, size, taken, first_slot, source_size, target) per document; the schedule of slots).
 
     The word counts are the only pass over the texts; they are checkpointed, and all later joins
     carry keys and numbers.  One small action reads the sum of sizes to fix the block size.
@@ -130,7 +160,8 @@ def mix_sized(spark: SparkSession, sized: DataFrame, weights=WEIGHTS, share: flo
     total, rows = int(whole["words"] or 0), int(whole["rows"] or 0)
     words = block_words(total)
     plan = schedule(spark, per, total, words, share)
-    uses = plan.groupBy("skey", "block").agg(F.collect_list("words").alias("cuts"))  # one cut a pass: bounded by ``most``
+    # one cut a pass: bounded by ``most``
+    uses = plan.groupBy("skey", "block").agg(F.collect_list("words").alias("cuts"), F.min("slot").alias("slot"))
     stream = shuffled(sized.where("size > 0"), rows // chunk_rows + 1)
     last = F.floor((F.col("begin") + F.col("size") - 1) / words)
     pieces = stream.withColumn("piece", F.explode(F.sequence(F.floor(F.col("begin") / words), last)))
@@ -138,18 +169,22 @@ def mix_sized(spark: SparkSession, sized: DataFrame, weights=WEIGHTS, share: flo
     hi = F.least(F.col("begin") + F.col("size"), (F.col("piece") + 1) * words) - F.col("piece") * words
     got = pieces.select("key", "skey", "size", "begin", F.col("piece").alias("block"), lo.alias("lo"), hi.alias("hi")).join(uses, ["skey", "block"], "left")
     part = F.aggregate(F.coalesce("cuts", F.array().cast("array<bigint>")), F.lit(0).cast("long"), lambda acc, cut: acc + F.greatest(F.lit(0).cast("long"), F.least(cut, F.col("hi")) - F.col("lo")))
-    taken = got.groupBy("key", "skey", "size", "begin").agg(F.sum(part).alias("taken"))
-    empty = sized.where("size = 0").select("key", "skey", "size", F.lit(0).cast("long").alias("taken"))
-    taken = taken.select("key", "skey", "size", "taken").unionByName(empty)
+    got = got.withColumn("part", part)
+    taken = got.groupBy("key", "skey", "size", "begin").agg(F.sum("part").alias("taken"), F.min(F.when(F.col("part") > 0, F.col("slot"))).alias("first_slot"))
+    empty = sized.where("size = 0").select("key", "skey", "size", F.lit(0).cast("long").alias("taken"), F.lit(None).cast("long").alias("first_slot"))
+    taken = taken.select("key", "skey", "size", "taken", "first_slot").unionByName(empty)
     return taken.join(per.select("skey", "source_size", "target"), "skey"), plan
 
 
 def take(docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", **options) -> DataFrame:
-    """The rows of ``docs`` of which the mixture takes words, with mix_size, mix_target and mix_taken.
+    """The rows of ``docs`` of which the mixture takes words, with mix_size, mix_target, mix_taken and mix_slot, in slot order.
 
     Rows with the same key have the same hash, and are told apart by size; equal rows may swap.
     """
-    taken, _ = mix(docs, text, source, key, **options)
-    per = taken.where("taken > 0").groupBy("key", "skey", "size").agg(F.max("target").alias("target"), F.max("taken").alias("taken"))
-    on = F.col(key).eqNullSafe(F.col("key")) & (source_key(F.col(source)) == F.col("skey")) & (size_of(F.col(text)) == F.col("size"))
-    return docs.join(per, on).select(*docs.columns, F.col("size").alias("mix_size"), F.col("target").alias("mix_target"), F.col("taken").alias("mix_taken"))
+    p = "__mix_"
+    taken, _ = mix(docs.select(F.col(text).alias("text"), F.col(source).alias("source"), F.col(key).alias("doc_id")), **options)
+    per = taken.where("taken > 0").groupBy("key", "skey", "size").agg(F.max("target").alias("target"), F.max("taken").alias("taken"), F.min("first_slot").alias("slot"))
+    per = per.select(*[F.col(c).alias(p + c) for c in per.columns])
+    on = F.col(key).eqNullSafe(F.col(p + "key")) & (source_key(F.col(source)) == F.col(p + "skey")) & (size_of(F.col(text)) == F.col(p + "size"))
+    made = [F.col(p + c).alias("mix_" + c) for c in ("size", "target", "taken", "slot")]
+    return docs.join(per, on).orderBy(p + "slot", F.col(p + "key")).select(*docs.columns, *made)

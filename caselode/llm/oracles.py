@@ -52,11 +52,20 @@ f as (select level as free from l where cap > level * weight order by cap / weig
 t as (select skey, source_size, case when cap <= level * weight then cap else (select free from f) * weight end as target from l),
 b as (
   select s.*, coalesce(sum(size) over (partition by skey order by md5(coalesce(cast(doc_id as varchar), '')), size rows between unbounded preceding and 1 preceding), 0) as begin
-  from s)
-select doc_id, size, source_size, target,
-       cast(case when size = 0 then 0 else cast(round(target) as bigint) // source_size * size
-            + least(size, greatest(0, cast(round(target) as bigint) % source_size - begin)) end as bigint) as taken
-from b join t using (skey)
+  from s),
+w as (select cast(sum(source_size) as bigint) as total, greatest(1, least(1024, cast(sum(source_size) as bigint) // 65536)) as words from p),
+i as (select skey, coalesce(sum(target) over (order by skey rows between unbounded preceding and 1 preceding), 0) / sum(target) over () as low from t where target > 0),
+n as (select slot, (slot + 1) * 0.6180339887498949::double - floor((slot + 1) * 0.6180339887498949::double) as point from (select unnest(range(cast(floor(total * 1.5::double / words) as bigint) + 1)) as slot from w)),
+k as (select slot, skey, row_number() over (partition by skey order by slot) - 1 as rank from n asof join i on point >= low),
+h as (select skey, count(*) as drawn from k group by skey),
+m as (
+  select doc_id, size, source_size, target, skey, begin // words as rank,
+         cast(case when size = 0 then 0 else cast(round(target) as bigint) // source_size * size
+              + least(size, greatest(0, cast(round(target) as bigint) % source_size - begin)) end as bigint) as taken
+  from b join t using (skey), w)
+select doc_id, size, source_size, target, taken,
+       cast(case when taken > 0 then coalesce(k.slot, m.rank + (select cast(floor(total * 1.5::double / words) as bigint) + 1 from w)) end as bigint) as first_slot
+from m left join k using (skey, rank)
 """
 
 OP9 = rf"""

@@ -63,7 +63,7 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     taken, _ = mixing.mix(table(spark, sf_dir, "documents"))
-    return taken.select(F.col("key").alias("doc_id"), "size", "source_size", "target", "taken")
+    return taken.select(F.col("key").alias("doc_id"), "size", "source_size", "target", "taken", "first_slot")
 
 
 def op8_quality_bands(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -327,6 +327,33 @@ def test_mixing(spark, awkward):
     full = mixing.take(frame, chunk_rows=7)
     assert sum(r["mix_taken"] for r in full.collect()) == sum(k for *_, k in got) and full.columns[:3] == frame.columns
     assert mixing.mix(frame.limit(0))[0].count() == 0
+    firsts = {(r["key"], r["size"]): r["first_slot"] for r in taken.collect() if r["taken"]}
+    assert None not in firsts.values() and all(r["first_slot"] is None for r in taken.collect() if not r["taken"])
+    clash = frame.withColumns({c: F.lit("c") for c in ("size", "key", "skey", "taken", "begin", "slot", "target")})
+    kept = mixing.take(clash, chunk_rows=7)
+    assert kept.columns[: len(clash.columns)] == clash.columns and [r["mix_slot"] for r in kept.collect()] == sorted(r["mix_slot"] for r in full.collect())
+
+
+def test_mixing_of_very_many_sources(spark):
+    rng = random.Random(12)
+    rows = [(i, "w " * rng.randrange(1, 40), f"s{i % 700}") for i in range(1500)]
+    taken = mixing.mix(spark.createDataFrame(rows, DOCS + ", source string"), chunk_rows=50)[0].collect()
+    assert by_id((r["key"], r["size"], r["source_size"], r["taken"]) for r in taken) == by_id((d, n, s, k) for d, n, s, _, k in plain.mix(rows))
+
+
+def test_running_sums_and_intervals_over_ranges(spark):
+    rng = random.Random(13)
+    values = [(rng.randrange(500), rng.randrange(9)) for _ in range(400)]
+    got = sorted((r["v"], r["w"], r["s"]) for r in mixing.before_each(spark.createDataFrame(values, "v long, w long"), ["v", "w"], {"s": "w"}).collect())
+    want, total = [], 0
+    for v, w in sorted(values):
+        want.append((v, w, total))
+        total += w
+    assert got == want
+    starts = [(i / 10, f"k{i}") for i in range(10)]
+    points = [(rng.random(), i) for i in range(300)] + [(0.3, 900)]
+    found = mixing.last_before(spark.createDataFrame(points, "at double, i long"), spark.createDataFrame(starts, "at double, name string"), "at", "name").collect()
+    assert {r["i"]: r["name"] for r in found} == {i: max(s for s in starts if s[0] <= x)[1] for x, i in points}
 
 
 def test_language_id(spark):

@@ -66,7 +66,7 @@ def test_stages_equal_the_plain_version(spark, tmp_path):
     spark.createDataFrame(docs, SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     got = corpus_pipeline.run(spark, str(tmp_path))
-    assert got.columns == ["doc_id", "text", "lang", "source", "n_chars", "mix_size", "mix_target", "mix_taken"]
+    assert got.columns == ["doc_id", "text", "lang", "source", "n_chars", "mix_size", "mix_target", "mix_taken", "mix_slot"]
     assert sorted(((r["doc_id"], r["text"], r["lang"], r["source"], r["n_chars"], r["mix_taken"]) for r in got.collect()), key=repr) == sorted(plain_pipeline(docs, items), key=repr)
 
 
