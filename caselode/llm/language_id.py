@@ -5,17 +5,26 @@ parsed greedily into the longest phrases that occur in that training text; the f
 needs, normalised by log2 of the training length (the bits that name a phrase), the closer it is to
 the language.  The language with the least bits wins; ties go to the first in order.
 
-Texts are parsed whole, in blocks of ``BLOCK`` letters so that all blocks and languages of a slice
-advance together, one letter at a time, through one dense transition table: greedy parsing needs
-no suffix links, only "extend the phrase, or end it and start the next".
+Texts are parsed whole and in one piece.  Blocks of ``BLOCK`` letters first advance together, one
+letter at a time, each as if a phrase began with it; then the phrase left open at each block's end is
+followed into the next block until one of its phrases begins where one of the block's own does: from
+there on both parses are the same.  Greedy parses meet after a few phrases, and where they don't the
+walk goes on, so the phrases are always those of the unbroken parse.
+
+All automata share one open-addressing table of transitions, keyed by (state, letter), so neither
+the number of letters of a script nor that of languages is limited; where all states times all
+letters are ``DENSE`` at most, the same steps are laid out in a plain table.  A letter that a
+language's training text lacks is a phrase of its own there.
 
 Fitting: up to ``rows`` different texts per language (the least hashes of their content among labelled
-rows; copies count once) and ``chars`` letters of them, at most ``languages`` languages; the bound is what is broadcast.  Rows
-whose label a model of the other half of the sample disputes are left out.
+rows; copies count once), of each an excerpt of up to ``excerpt`` characters at a place drawn by the
+hash, and ``chars`` letters of those together.  Every label is learned.  What is collected and broadcast
+is bounded by ``chars`` letters a label; more than ``MOST_LETTERS`` together are refused with an error, so labels
+must be a bounded set.  Rows whose label a model of the other half of the sample disputes are left out.
 
 Defined cases: null texts and texts without letters are ``und`` with score 0; null labels and null
-texts teach nothing; without any training text everything is ``und``; repeated rows get the same
-answer; extra columns are carried through.
+texts teach nothing; a label whose texts have no letters is not learned; without any training text
+everything is ``und``; repeated rows get the same answer; extra columns are carried through.
 """
 
 from __future__ import annotations
@@ -33,9 +42,9 @@ from pyspark.sql import types as T
 
 from caselode.llm import kernels as K
 
-ROWS, CHARS, LANGUAGES, EXCERPT = 48, 32768, 64, 4096
-TOTAL_CHARS = 262144
-SYMBOLS, BLOCK = 64, 256
+ROWS, CHARS, EXCERPT = 48, 32768, 4096
+MOST_LETTERS = 1 << 25
+BLOCK, DENSE = 512, 1 << 24
 FIELDS = (("lang_pred", "string"), ("score", "double"), ("bits_per_letter", "double"))
 
 
@@ -75,42 +84,143 @@ def suffix_automaton(symbols: list[int]) -> list[dict[int, int]]:
 
 
 class Model:
-    """One dense table for all languages; entries are 4 * next state + phrases ended."""
+    """The automata of all languages in one hash table: (state, letter) to the next state."""
+
+    MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
     def __init__(self, training: dict[str, str]):
         self.names = sorted(training)
-        counts: dict[str, int] = {}
-        for text in training.values():
-            for c in text:
-                counts[c] = counts.get(c, 0) + 1
-        common = sorted((c for c in counts if c != " "), key=lambda c: (-counts[c], c))[: SYMBOLS - 2]
-        code = {" ": 0} | {c: i + 1 for i, c in enumerate(common)}
+        code = {" ": 0} | {c: i + 1 for i, c in enumerate(sorted(set().union(*training.values()) - {" "}))}
         other = len(code)
         self.width = other + 1
-        tables, self.roots, base = [], [], 0
+        keys, values, roots, base = [], [], [], 0
         for name in self.names:
-            states = suffix_automaton([code.get(c, other) for c in training[name]])
-            table = np.empty((len(states), self.width), dtype=np.int32)
-            start = np.array([4 * (base + states[0][c]) + 1 if c in states[0] else 4 * base + 2 for c in range(self.width)], dtype=np.int32)
-            table[:] = start
-            table[0] = np.array([4 * (base + states[0][c]) if c in states[0] else 4 * base + 1 for c in range(self.width)], dtype=np.int32)
+            states = suffix_automaton([code[c] for c in training[name]])
             for i, moves in enumerate(states):
                 for c, j in moves.items():
-                    table[i, c] = 4 * (base + j)
-            tables.append(table)
-            self.roots.append(base)
+                    keys.append((base + i) * self.width + c)
+                    values.append(base + j)
+            roots.append(base)
             base += len(states)
-        self.table = np.concatenate(tables).ravel() if tables else np.zeros(0, np.int32)
+        self.roots = np.array(roots, dtype=np.int64)
         self.bits = np.array([math.log2(max(2, len(training[n]))) for n in self.names])
-        self.look = np.zeros(sys.maxunicode + 1, dtype=np.uint8)
+        self.fill(np.array(keys, dtype=np.int64), np.array(values, dtype=np.int32))
+        # the first letters of phrases, without hashing
+        letters = np.tile(np.arange(self.width), len(self.names))
+        self.first = self.step(np.repeat(self.roots, self.width), letters)
+        self.dense = None
+        if base * self.width <= DENSE:
+            lang = np.searchsorted(self.roots, np.arange(base), side="right") - 1
+            begins, to = self.advance(np.repeat(lang, self.width), np.repeat(np.arange(base), self.width), np.tile(np.arange(self.width), base))
+            self.dense = (2 * to + begins).astype(np.int32)
+        self.look = np.zeros(sys.maxunicode + 1, dtype=np.int32)
         for cp in range(sys.maxunicode + 1):
             c = chr(cp)
             if c.isalpha():
                 low = c.lower()
                 self.look[cp] = code.get(low if len(low) == 1 else low[0], other)
 
+    def fill(self, keys: np.ndarray, values: np.ndarray) -> None:
+        """Linear probing, all keys at once: of those that want a free slot the first gets it."""
+        power = max(4, (2 * len(keys)).bit_length())
+        self.shift, self.mask = np.uint64(64 - power), (1 << power) - 1
+        self.keys, self.values = np.full(1 << power, -1, dtype=np.int64), np.zeros(1 << power, dtype=np.int32)
+        at = self.slot(keys)
+        left = np.arange(len(keys))
+        while len(left):
+            free = left[self.keys[at[left]] == -1]
+            _, one = np.unique(at[free], return_index=True)
+            placed = free[one]
+            self.keys[at[placed]], self.values[at[placed]] = keys[placed], values[placed]
+            left = left[self.keys[at[left]] != keys[left]]
+            at[left] = (at[left] + 1) & self.mask
+
+    def slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(np.uint64) * self.MULTIPLIER) >> self.shift).astype(np.int64)
+
+    def step(self, state: np.ndarray, letter: np.ndarray) -> np.ndarray:
+        """The next states, -1 where there is none."""
+        key = state * self.width + letter
+        at = self.slot(key)
+        held = self.keys[at]
+        out = np.where(held == key, self.values[at], -1)
+        left = np.flatnonzero((held != key) & (held != -1))
+        while len(left):
+            at[left] = (at[left] + 1) & self.mask
+            held = self.keys[at[left]]
+            hit = held == key[left]
+            out[left[hit]] = self.values[at[left[hit]]]
+            left = left[~hit & (held != -1)]
+        return out.astype(np.int64)
+
+    def advance(self, lang: np.ndarray, state: np.ndarray, letter: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(whether a phrase begins with this letter, the state after it)."""
+        if self.dense is not None:
+            v = self.dense[state * self.width + letter]
+            return (v & 1).astype(bool), v >> 1
+        root = self.roots[lang]
+        begins = state == root
+        to = np.empty(len(state), dtype=np.int64)
+        inner = np.flatnonzero(~begins)
+        to[inner] = self.step(state[inner], letter[inner])
+        begins[inner] = to[inner] < 0
+        fresh = np.flatnonzero(begins)
+        to[fresh] = self.first[lang[fresh] * self.width + letter[fresh]]
+        return begins, np.where(to < 0, root, to)
+
+    def phrases(self, sym: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """The number of phrases of the greedy parse, for each language and text; at: the texts' borders."""
+        langs, size = len(self.names), np.diff(at)
+        per = -(-size // BLOCK)
+        owner = np.repeat(np.arange(len(size)), per)
+        index = np.arange(len(owner)) - np.repeat(np.cumsum(per) - per, per)
+        start = at[owner] + index * BLOCK
+        length = np.minimum(BLOCK, at[owner + 1] - start)
+        if not len(start) or not langs:
+            return np.zeros((langs, len(size)), dtype=np.int64)
+        order = np.argsort(-length, kind="stable")  # the longest blocks first: at step t the first ones are live
+        rank = np.empty(len(order), dtype=np.int64)
+        rank[order] = np.arange(len(order))
+        owner, follows = owner[order], (index + 1 < per[owner])[order]
+        after = rank[np.minimum(np.arange(len(order)) + 1, len(order) - 1)][order]  # the text's next block
+        start, length = start[order], length[order]
+        live = np.searchsorted(-length, -np.arange(BLOCK), side="left")  # blocks longer than t
+        steps = int(length[0])
+        final = np.repeat(self.roots[:, None], len(start), axis=1)
+        begins = np.zeros((steps, langs, len(start)), dtype=bool)
+        each = np.arange(langs)
+        for t in range(steps):
+            n = live[t]
+            new, to = self.advance(np.repeat(each, n), final[:, :n].ravel(), np.tile(sym[start[:n] + t], langs))
+            begins[t, :, :n] = new.reshape(langs, n)
+            final[:, :n] = to.reshape(langs, n)
+        count = begins.sum(axis=0, dtype=np.int64)
+
+        # phrases that go on across a block's border
+        lang, block = np.nonzero((final != self.roots[:, None]) & follows[None, :])
+        while len(block):
+            state, block, changed, t = final[lang, block], after[block], [], 0
+            while len(block):
+                new, to = self.advance(lang, state, sym[start[block] + t])
+                had = begins[t, lang, block]
+                go = ~(new & had)
+                lang, block, state, new, had = lang[go], block[go], to[go], new[go], had[go]
+                begins[t, lang, block] = new
+                count[lang, block] += new.astype(np.int64) - had
+                t += 1
+                over = length[block] == t
+                if over.any():  # not met in this block: the next one is entered otherwise than it was
+                    moved = over & (final[lang, block] != state)
+                    final[lang[moved], block[moved]] = state[moved]
+                    moved &= follows[block]
+                    changed.append((lang[moved], block[moved]))
+                    lang, block, state = lang[~over], block[~over], state[~over]
+            if changed:
+                lang, block = (np.concatenate(x) for x in zip(*changed))
+        return np.stack([np.bincount(owner, weights=count[k], minlength=len(size)) for k in range(langs)])
+
     def parse(self, s: K.Slice) -> tuple[np.ndarray, np.ndarray]:
-        """(bits per text and language, letters and gaps per text)."""
+        """(bits per language and text, letters and gaps per text)."""
         points = np.frombuffer(s.data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), dtype=np.uint32)
         lead = np.concatenate([[0], np.cumsum((s.data & 0xC0) != 0x80)])
         border = lead[s.offs]
@@ -123,29 +233,8 @@ class Model:
         at = total[border]
         sym = sym[fresh]
         size = np.diff(at)
-        any_letter = np.add.reduceat(np.append(sym != 0, False).astype(np.int64), at[:-1]) > 0 if len(size) else np.zeros(0, bool)
-        any_letter &= size > 0
-        per = -(-size // BLOCK)
-        owner = np.repeat(np.arange(len(size)), per)
-        index = np.arange(len(owner)) - np.repeat(np.cumsum(per) - per, per)
-        start = at[owner] + index * BLOCK
-        length = np.minimum(BLOCK, at[owner + 1] - start)
-        order = np.argsort(-length, kind="stable")
-        start, length, owner = start[order], length[order], owner[order]
-        roots = np.array(self.roots, dtype=np.int32)
-        state = np.repeat(roots[:, None], len(start), axis=1)
-        ended = np.zeros(state.shape, dtype=np.int64)
-        live = np.searchsorted(-length, -np.arange(BLOCK), side="left")  # blocks longer than t
-        for t in range(int(length[0]) if len(length) else 0):
-            n = live[t]
-            v = self.table[state[:, :n] * self.width + sym[start[:n] + t]]
-            ended[:, :n] += v & 3
-            state[:, :n] = v >> 2
-        ended += state != roots[:, None]
-        bits = np.zeros((len(self.names), len(size)))
-        for k in range(len(self.names)):
-            bits[k] = np.bincount(owner, weights=ended[k], minlength=len(size)) * self.bits[k]
-        return bits, np.where(any_letter, size, 0)
+        letters = np.concatenate([[0], np.cumsum(sym != 0)])
+        return self.phrases(sym, at) * self.bits[:, None], np.where(np.diff(letters[at]) > 0, size, 0)
 
     def predict(self, s: K.Slice) -> tuple[list[str], np.ndarray, np.ndarray]:
         bits, size = self.parse(s)
@@ -189,19 +278,22 @@ def clean_training(sample: dict[str, list[str]], chars: int) -> dict[str, str]:
     return {n: joined(kept[n] or t, chars) for n, t in sample.items()}
 
 
-def fit(docs: DataFrame, text: str, lang: str, may_learn: Column, *, rows: int = ROWS, chars: int = CHARS, languages: int = LANGUAGES) -> dict[str, str]:
-    """Training text per language.  What reaches the driver: languages * rows excerpts at most."""
+def fit(docs: DataFrame, text: str, lang: str, may_learn: Column, *, rows: int = ROWS, chars: int = CHARS, excerpt: int = EXCERPT) -> dict[str, str]:
+    """Training text per language.  What reaches the driver: rows excerpts of each label at most."""
     known = docs.where(may_learn & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text")).withColumn("draw", F.xxhash64("text"))
-    counts = known.select("lang", "draw").distinct().groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(languages).collect()
+    counts = known.select("lang", "draw").distinct().groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy("lang").collect()
     if not counts:
         return {}
+    if len(counts) * chars > MOST_LETTERS:
+        raise ValueError(f"{len(counts)} labels of {chars} letters each are more than MOST_LETTERS: take fewer chars")
     # texts below this hash are about three times what is wanted; the window then takes the least ones
     share = {r["lang"]: min(1.0, 3.0 * rows / r["n"]) for r in counts}
     place = F.row_number().over(W.partitionBy("lang").orderBy("draw", "excerpt"))
+    begin = F.pmod("draw", F.greatest(F.lit(1), F.length("text") - excerpt + 1))
     while True:
         below = F.create_map(*[x for name, part in share.items() for x in (F.lit(name), F.lit(part))])
         drawn = known.where((F.pmod("draw", F.lit(1 << 40)) / F.lit(float(1 << 40))) < F.try_element_at(below, F.col("lang")))
-        once = drawn.groupBy("lang", "draw").agg(F.min(F.substring("text", 1, EXCERPT)).alias("excerpt"))
+        once = drawn.groupBy("lang", "draw").agg(F.min(F.substring("text", (begin + 1).cast("int"), F.lit(excerpt))).alias("excerpt"))
         found = once.withColumn("place", place).where(F.col("place") <= rows).collect()
         have = Counter(r["lang"] for r in found)
         short = [r["lang"] for r in counts if have[r["lang"]] < min(rows, r["n"]) and share[r["lang"]] < 1]
@@ -212,7 +304,7 @@ def fit(docs: DataFrame, text: str, lang: str, may_learn: Column, *, rows: int =
     for r in sorted(found, key=lambda r: (r["lang"], r["place"])):
         if t := letters(r["excerpt"]):
             sample.setdefault(r["lang"], []).append(t)
-    return clean_training(sample, min(chars, TOTAL_CHARS // max(1, len(sample)))) if sample else {}
+    return clean_training(sample, chars) if sample else {}
 
 
 _models: dict = {}
