@@ -108,12 +108,13 @@ def test_decontaminate(spark):
     want = plain.decontaminate(docs, ITEMS)
     bench = spark.createDataFrame(ITEMS, "item_id long, text string")
     frame = spark.createDataFrame([(*r, i, "clash") for i, r in enumerate(docs)], DOCS + ", row int, items string")
+    assert decontaminate.item_blocks(bench, "item_id", "text", 40)[0] > 3
     for block in (decontaminate.BLOCK_CHARS, 40):
         got = {r["row"]: r for r in decontaminate.scan(frame, bench, prefix="m_", block_chars=block).collect()}
         for i, (n, hit, items) in enumerate(want):
             assert (got[i]["m_n_words"], list(got[i]["m_hit_words"]), list(got[i]["m_items"]), got[i]["m_n_items"]) == (n, hit, items, len(items))
             assert got[i]["m_contaminated"] == (len(items) >= 2) and got[i]["items"] == "clash"
-    assert [docs[5][1][s["start"] : s["end"]] for s in got[5]["m_spans"]] == ["alpha-beta gamma: delta epsilon zeta eta theta, iota kappa"]
+        assert len(got) == len(docs) and [docs[5][1][s["start"] : s["end"]] for s in got[5]["m_spans"]] == ["alpha-beta gamma: delta epsilon zeta eta theta, iota kappa"]
     kept = decontaminate.drop_contaminated(frame, bench)
     assert kept.columns == frame.columns and sorted(r["row"] for r in kept.collect()) == [i for i, w in enumerate(want) if len(w[2]) < 2]
     assert decontaminate.scan(spark.createDataFrame([], DOCS), bench.limit(0)).count() == 0
