@@ -7,7 +7,7 @@ import plain
 import zstandard
 
 import corpus_pipeline
-from caselode.llm import decontaminate, quality_bands
+from caselode.llm import quality_bands
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 SYLLABLES = [a + b + c for a in "bdfgklmnprst" for b in "aeiou" for c in ("", "n", "r", "s")]
@@ -28,7 +28,7 @@ def in_band(text):
     if not lo <= ratio(raw) <= hi:
         return False
     lo, hi = next((a, b) for top, a, b in quality_bands.BANDS if 4095 < top)
-    chunks = [raw[i : i + 4096] for i in range(0, len(raw) - 4095, 4096)] if len(raw) >= 8192 else []
+    chunks = [raw[i : i + 4096] for i in [*range(0, len(raw) - 4096, 4096), len(raw) - 4096]] if len(raw) > 4096 else []
     return sum(not lo <= ratio(c) <= hi for c in chunks) <= 0.5 * len(chunks)
 
 
@@ -50,7 +50,7 @@ def plain_pipeline(docs, items):
             seen.add(d[:2])
             once.append(d)
     found = plain.decontaminate([d[:2] for d in once], items)
-    clean = [(d[0], redacted(d[1]), *d[2:4]) for d, (_, _, i) in zip(once, found) if len(i) < decontaminate.MIN_ITEMS]
+    clean = [(d[0], redacted(d[1]), *d[2:4]) for d, (_, _, i) in zip(once, found) if not i]
     taken = {d: k for d, _, _, _, k in plain.mix([(d, t, s) for d, t, _, s in clean])}
     return sorted((d, t, lang, s, len(t), taken[d]) for d, t, lang, s in clean if taken[d])
 
@@ -67,6 +67,8 @@ def test_stages_equal_the_plain_version(spark, tmp_path):
     spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     got = corpus_pipeline.run(spark, str(tmp_path))
     assert got.columns == ["doc_id", "text", "lang", "source", "n_chars", "mix_size", "mix_target", "mix_taken", "mix_slot"]
+    slots = [r["mix_slot"] for r in got.collect()]
+    assert slots == sorted(slots)
     assert sorted(((r["doc_id"], r["text"], r["lang"], r["source"], r["n_chars"], r["mix_taken"]) for r in got.collect()), key=repr) == sorted(plain_pipeline(docs, items), key=repr)
 
 
