@@ -16,7 +16,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_quote_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = quote_links.relink(table(spark, sf_dir, "conversations"))
-    return got.select("conv_id", "turn", "role", "reply_to", "root", "depth", "max_level", "n_linked", F.sha2("said", 256).alias("said_sha256"))
+    return got.select("conv_id", "turn", "role", "reply_to", "root", "depth", "position", "max_level", "n_linked", F.sha2("said", 256).alias("said_sha256"))
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

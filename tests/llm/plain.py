@@ -155,3 +155,49 @@ def mix(docs, weights=(3, 1, 2), share=1.5, most=2):
         out.append((d, n, per[s], target[s], full * n + min(n, max(0, rest - at[s])) if n else 0))
         at[s] += n
     return out
+
+
+def levelled(text):
+    """[(level, body)] of the lines of a message."""
+    out = []
+    for line in re.split("\r?\n", text):
+        mark = re.match(r"[ \t]*((?:>[ \t]?)+)", line)
+        out.append((mark[1].count(">"), line[mark.end() :]) if mark else (0, line))
+    return out
+
+
+def units(lines, level):
+    flat = re.sub(r"\s+", " ", " ".join(body if at == level else "\x01" for at, body in lines).lower())
+    return {u.strip(" ") for part in flat.split("\x01") for u in [part, *re.split(r"(?<=[.!?]) ", part)]} - {""}
+
+
+def threads(messages, attribution):
+    """{turn: (reply_to, root, depth, position, links)} of one conversation's (turn, text)."""
+    told, own, quotes = {}, {}, {}
+    for turn, text in messages:
+        own[turn] = units(levelled(re.sub(attribution, "", text or "")), 0)
+        lines = levelled(text or "")
+        quotes[turn] = {level: units(lines, level) for level in {at for at, _ in lines} - {0}}
+    parent, linked = {}, {}
+    for turn in own:
+        votes = Counter()
+        for level, found in quotes[turn].items():
+            for u in found:
+                earlier = [t for t in own if t < turn and u in own[t]]
+                if earlier:
+                    votes[-level, max(earlier)] += 1
+        linked[turn] = sum(votes.values())
+        if votes:
+            near = max(level for level, _ in votes)
+            parent[turn] = max((n, t) for (level, t), n in votes.items() if level == near)[1]
+    children = defaultdict(list)
+    for turn in sorted(own):
+        children[parent.get(turn)].append(turn)
+    for root in children[None]:
+        stack, place = [(root, 0)], 0
+        while stack:
+            turn, depth = stack.pop()
+            told[turn] = (parent.get(turn), root, depth, place, linked[turn])
+            place += 1
+            stack += [(c, depth + 1) for c in reversed(children[turn])]
+    return told

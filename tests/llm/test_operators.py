@@ -488,6 +488,43 @@ def test_quote_links(spark):
     assert quote_links.relink(frame.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(("seed", "turns"), [(0, 1024), (1, 4), (2, 7)])
+def test_quote_links_equal_the_plain_threads(spark, monkeypatch, seed, turns):
+    monkeypatch.setattr(quote_links, "TURNS", turns)
+    rng = random.Random(seed)
+    rows, phrases = [], ["Yes.", "Thanks!", "Yes, I am.", "No"]
+    for conv in range(4):
+        texts = []
+        for turn in range(30):
+            body = " ".join([rng.choice(phrases), *[prose(rng, rng.randrange(1, 6), (" ",)).strip() + rng.choice(".!?") for _ in range(rng.randrange(3))]])
+            if texts and rng.random() < 0.8:
+                quoted = "\n".join(("> " if not line.startswith(">") else ">") + line for line in rng.choice(texts[-3:] if rng.random() < 0.6 else texts).split("\n"))
+                lead = "x" * 300 + " wrote:\n" if rng.random() < 0.2 else ""
+                body = f"{lead}{quoted}\n{body}" if rng.random() < 0.7 else f"{body}\n{quoted}"
+            texts.append(body)
+            rows.append((conv, turn, body))
+    got = quote_links.relink(spark.createDataFrame(rows, "conv_id long, turn long, text string"))
+    seen = {(r["conv_id"], r["turn"]): (r["reply_to"], r["root"], r["depth"], r["position"], r["n_linked"]) for r in got.collect()}
+    attribution = quote_links.ATTRIBUTION
+    want = {(c, t): v for c in range(4) for t, v in plain.threads([r[1:] for r in rows if r[0] == c], attribution).items()}
+    assert seen == want and max(v[2] for v in want.values()) > 3 and max(r["max_level"] for r in got.collect()) > 4
+    order = [(r["conv_id"], r["root"], r["position"]) for r in quote_links.in_reply_order(got).collect()]
+    assert order == sorted(order) and len(set(order)) == len(rows)
+    assert not any(line.lstrip().startswith(">") for r in got.collect() for line in r["said"].split("\n"))
+
+
+def test_quotes_of_any_depth_and_length(spark):
+    rows = [(1, 0, "Yes, I am."), (1, 1, ">" * 9 + " Yes, I am.\nfine"), (1, 2, "> " + "w" * 100_000 + ".\nlong"), (1, 3, "w" * 100_000 + "."), (1, 4, "> " + "w" * 100_000 + ".")]
+    got = {r["turn"]: r for r in quote_links.relink(spark.createDataFrame(rows, "conv_id long, turn long, text string")).collect()}
+    assert [got[t]["reply_to"] for t in range(5)] == [None, 0, None, None, 3] and got[1]["max_level"] == 9
+
+
+def test_positions_of_a_hub_and_a_chain(spark):
+    hub = spark.createDataFrame([(1, i + 1, 0) for i in range(50)] + [(2, i + 1, i) for i in range(40)], "conv long, turn long, reply_to long")
+    rest = {(r["conv"], r["turn"]): r["rest"] for r in quote_links.positions(hub).collect()}
+    assert all(rest[1, 0] - rest[1, i] == i for i in range(51)) and all(rest[2, 0] - rest[2, i] == i for i in range(41))
+
+
 def test_threads_of_a_long_chain(spark):
     replies = spark.createDataFrame([(1, i + 1, i) for i in range(40)], "conv long, turn long, reply_to long")
     assert {r["turn"]: (r["root"], r["depth"]) for r in quote_links.threads(replies).collect()} == {i: (0, i) for i in range(1, 41)}
