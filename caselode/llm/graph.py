@@ -13,12 +13,15 @@ from pyspark.sql import functions as F
 from caselode.llm.shared import checkpointed
 
 
-def components(links: DataFrame, a: str = "a", b: str = "b", rounds: int = 100) -> DataFrame:
-    """(node, component): the smallest node that each node of a link reaches."""
+def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """(node, component): the smallest node that each node of a link reaches.
+
+    Rounds go on until the links no longer change, about as many as the logarithm of the largest component.
+    """
     x, y = F.greatest(a, b), F.least(a, b)
     edges = checkpointed(links.where(F.col(a) != F.col(b)).select(x.alias("u"), y.alias("v")).distinct())
     mark = None
-    for _ in range(rounds):
+    while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
