@@ -8,6 +8,7 @@ words need nothing special.  A word that no document has makes its phrase match
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from caselode.operators.score import if_small
@@ -37,3 +38,9 @@ def intersect(matches: DataFrame) -> DataFrame:
 def retrieve(parsed: DataFrame, posts: DataFrame) -> DataFrame:
     """Zones that satisfy each valid query; order by freq descending, then zone, to rank them."""
     return intersect(clause_matches(clause_words(parsed.where("type <> 'invalid'")), posts))
+
+
+def ranked(found: DataFrame) -> DataFrame:
+    """``found`` of ``retrieve`` with rank, from 0 per query: by freq descending, then by zone."""
+    order = W.partitionBy("query_id").orderBy(F.desc("freq"), "zone_doc_id")
+    return found.withColumn("rank", (F.row_number().over(order) - 1).cast("long"))

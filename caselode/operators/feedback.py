@@ -23,10 +23,13 @@ def add_terms(terms: DataFrame, more: DataFrame) -> DataFrame:
 
 def rank_with_feedback(terms: DataFrame, index: Index, tops: DataFrame, digits: int | None = None, zones: int = fixed.FEEDBACK_ZONES) -> DataFrame:
     """Two passes of the same scoring; zones are cut to the best before documents are formed of halves."""
-    n = index.n
-    first = score.zone_scores(terms, index.postings, index.dictionary, n)
-    again = add_terms(terms, feedback_terms(first, tops))
-    second = score.best_zones(score.zone_scores(again, index.postings, index.dictionary, n), zones)
+    first = score.zone_scores(terms, index.postings, index.dictionary, index.n)
+    return rank_again(add_terms(terms, feedback_terms(first, tops)), index, digits, zones)
+
+
+def rank_again(terms: DataFrame, index: Index, digits: int | None = None, zones: int = fixed.FEEDBACK_ZONES) -> DataFrame:
+    """The second pass, of a query that feedback has been added to."""
+    second = score.best_zones(score.zone_scores(terms, index.postings, index.dictionary, index.n), zones)
     return score.rank(score.fold(second, fixed.FEEDBACK_SHARE, fixed.FEEDBACK_SHARE), digits)
 
 

@@ -1,19 +1,21 @@
 """The zoned positional inverted index.
 
-Tokens are made in a narrow pass over the zones.  Grouping by (term, zone) is combined before its
-shuffle; documents frequencies and lengths are aggregated from postings, so a corpus is tokenised
-once.  A term in every document spreads over all partitions, as postings are keyed by term and zone.
+A zone's terms, frequencies, positions, length and top terms all lie in its own row, so they are made
+there, by sorting the row's tokens (``forward``), and no corpus is shuffled for them.  What is
+shuffled are document frequencies, after map-side combination, and postings once, when ``save`` sorts them
+by term.  A lexicon too large for a map is joined to tokens; only then are postings grouped.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from caselode.functions import fixed, text
+from caselode.functions.arrays import runs
 from caselode.functions.weighting import tf_log
 
 
@@ -48,6 +50,33 @@ def tokens(zoned: DataFrame, lemmas: DataFrame | None = None, terms: list[str] |
     return out if terms is None else out.where(F.col("term").isin(*terms))
 
 
+def forward(zoned: DataFrame, lemmas: DataFrame | None = None, positions: bool = True, terms: list[str] | None = None) -> DataFrame:
+    """(zone_doc_id, document_id, zone, importance, terms): each zone's terms with tf[, positions]; narrow for a small lexicon."""
+    keep = ["zone_doc_id", "document_id", "zone", "importance"]
+    lookup = None if lemmas is None else text.lemma_map(lemmas)
+    made = text.tokens(F.col("text"))
+    if lemmas is None or lookup is not None:
+        if lookup is not None:
+            made = F.transform(made, lambda t: F.coalesce(F.try_element_at(lookup, t), t))
+        return zoned.select(*keep, runs(made, positions, terms).alias("terms"))
+    posts = postings(tokens(zoned, lemmas, terms), positions)
+    entry = F.struct("term", "tf", *(["positions"] if positions else []))
+    held = posts.groupBy("zone_doc_id").agg(F.array_sort(F.collect_list(entry)).alias("terms"))
+    kind = held.schema["terms"].dataType.simpleString()
+    return zoned.select(*keep).join(held, "zone_doc_id", "left").select(*keep, F.coalesce("terms", F.array().cast(kind)).alias("terms"))
+
+
+def unrolled(held: DataFrame) -> DataFrame:
+    """Postings of a forward table: (term, zone_doc_id, document_id, zone, importance, tf[, positions])."""
+    keep = ["zone_doc_id", "document_id", "zone", "importance"]
+    return held.select(*keep, F.explode("terms").alias("x")).select("x.term", *keep, *["x." + f.name for f in held.schema["terms"].dataType.elementType.fields[1:]])
+
+
+def document_frequencies(zoned: DataFrame) -> DataFrame:
+    """(term, df), counted from each zone's different terms."""
+    return zoned.select(F.explode(F.array_distinct(text.tokens(F.col("text")))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+
+
 def postings(toks: DataFrame, positions: bool = True) -> DataFrame:
     """(term, zone_doc_id, document_id, zone, importance, tf[, positions])."""
     extra = [F.sort_array(F.collect_list("pos")).alias("positions")] if positions else []
@@ -62,23 +91,28 @@ def dictionary(posts: DataFrame) -> DataFrame:
     return posts.groupBy("term").agg(F.sum(F.when(F.col("tf") > 0, 1).otherwise(0)).cast("long").alias("df"))
 
 
-def doc_lengths(zoned: DataFrame, posts: DataFrame) -> DataFrame:
-    """(zone_doc_id, document_id, zone, importance, doc_length); a zone without terms has length 0."""
-    sums = posts.groupBy("zone_doc_id").agg(F.sum(F.pow(tf_log(F.col("tf")), 2.0)).alias("s"))
-    return zoned.select("zone_doc_id", "document_id", "zone", "importance").join(sums, "zone_doc_id", "left").select("zone_doc_id", "document_id", "zone", "importance", F.sqrt(F.coalesce("s", F.lit(0.0))).alias("doc_length"))
+def length_of(terms: Column) -> Column:
+    """The length of a zone's vector of log-tf weights; 0 without terms."""
+    return F.sqrt(F.aggregate(terms, F.lit(0.0), lambda acc, x: acc + F.pow(tf_log(x["tf"]), 2.0)))
 
 
-def top_terms(posts: DataFrame, k: int = fixed.FEEDBACK_TERMS, stopwords=fixed.STOPWORDS) -> DataFrame:
-    """(zone_doc_id, term, tf, place): each zone's most frequent topical terms; ties by term, descending."""
-    topical = posts.where((F.length("term") > 2) & ~F.col("term").isin(*stopwords))
-    place = F.row_number().over(W.partitionBy("zone_doc_id").orderBy(F.desc("tf"), F.desc("term")))
-    return topical.select("zone_doc_id", "term", "tf", place.alias("place")).where(F.col("place") <= k)
+def top_of(terms: Column, k: int = fixed.FEEDBACK_TERMS, stopwords=fixed.STOPWORDS) -> Column:
+    """array<struct<tf, term>>: a zone's most frequent topical terms; ties by term, descending."""
+    topical = F.filter(terms, lambda x: (F.length(x["term"]) > 2) & ~x["term"].isin(*stopwords))
+    return F.slice(F.sort_array(F.transform(topical, lambda x: F.struct(x["tf"].alias("tf"), x["term"].alias("term"))), asc=False), 1, k)
+
+
+def top_terms(held: DataFrame, k: int = fixed.FEEDBACK_TERMS, stopwords=fixed.STOPWORDS) -> DataFrame:
+    """(zone_doc_id, term, tf, place) of a forward table, places from 1."""
+    out = held.select("zone_doc_id", F.posexplode(top_of(F.col("terms"), k, stopwords)).alias("at", "x"))
+    return out.select("zone_doc_id", "x.term", "x.tf", (F.col("at") + 1).alias("place"))
 
 
 def strict_postings(toks: DataFrame, order: str) -> DataFrame:
     """Postings as appended one after the other: tokens merge into a term's last posting only if that is of the same zone.
 
     With repeated document ids a term gets several postings of one zone.  ``order`` gives the tokens' order of arrival.
+    Runs are numbered per term, so all tokens of a term are sorted in one task: for collections whose ids repeat, not for large ones.
     """
     arrival = W.partitionBy("term").orderBy(order, "pos")
     fresh = F.when(F.lag("zone_doc_id").over(arrival) == F.col("zone_doc_id"), 0).otherwise(1)
@@ -88,35 +122,42 @@ def strict_postings(toks: DataFrame, order: str) -> DataFrame:
 
 @dataclass(frozen=True)
 class Index:
-    """The tables of an index; ``n`` has one row, the number of zones."""
+    """The tables of an index; ``n`` has one row, the number of zones.  forward is there until the index is saved."""
 
     postings: DataFrame
     dictionary: DataFrame
     doc_weights: DataFrame
+    forward: DataFrame | None = None
 
     @property
     def n(self) -> DataFrame:
         return self.doc_weights.agg(F.count(F.lit(1)).alias("n"))
 
 
+def weights(held: DataFrame, feedback: bool = False) -> DataFrame:
+    """The doc_weights table of a forward table, with top_terms for feedback."""
+    tops = [F.transform(top_of(F.col("terms")), lambda x: x["term"]).alias("top_terms")] if feedback else []
+    return held.select("zone_doc_id", "document_id", "zone", "importance", length_of(F.col("terms")).alias("doc_length"), *tops)
+
+
 def build(cases: DataFrame, lemmas: DataFrame | None = None, feedback: bool = False) -> Index:
     """An index as lazy tables.  ``save`` it to search it more than once."""
-    zoned = zones(searchable(cases))
-    posts = postings(tokens(zoned, lemmas))
-    weights = doc_lengths(zoned, posts)
-    if feedback:
-        tops = top_terms(posts).groupBy("zone_doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "term"))), lambda x: x["term"]).alias("top_terms"))
-        weights = weights.join(tops, "zone_doc_id", "left").withColumn("top_terms", F.coalesce("top_terms", F.array().cast("array<string>")))
-    return Index(posts, dictionary(posts), weights)
-
-
-def save(index: Index, path: str, feedback: bool = False) -> None:
-    """Postings sorted by term, so that a term's row groups are found by their statistics; the rest is made from them."""
-    index.postings.repartitionByRange("term", "zone_doc_id").sortWithinPartitions("term", "zone_doc_id").write.mode("overwrite").parquet(f"{path}/postings")
-    spark = index.postings.sparkSession
-    stored = spark.read.parquet(f"{path}/postings")
-    dictionary(stored).repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/dictionary")
-    index.doc_weights.write.mode("overwrite").parquet(f"{path}/doc_weights")
+    held = forward(zones(searchable(cases)), lemmas)
+    posts = unrolled(held)
+    return Index(posts, dictionary(posts), weights(held, feedback), held)
+
+
+def save(index: Index, path: str) -> None:
+    """Postings sorted by term, so that a term's row groups are found by their statistics.
+
+    The corpus is tokenised once, into the forward table; all others are made from that.
+    """
+    spark = index.forward.sparkSession
+    index.forward.write.mode("overwrite").parquet(f"{path}/forward")
+    held = spark.read.parquet(f"{path}/forward")
+    weights(held, "top_terms" in index.doc_weights.columns).write.mode("overwrite").parquet(f"{path}/doc_weights")
+    unrolled(held).repartitionByRange("term", "zone_doc_id").sortWithinPartitions("term", "zone_doc_id").write.mode("overwrite").parquet(f"{path}/postings")
+    dictionary(spark.read.parquet(f"{path}/postings")).repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/dictionary")
 
 
 def load(spark: SparkSession, path: str) -> Index:

@@ -16,7 +16,8 @@ from caselode.functions.weighting import DOCUMENT, QUERY
 from caselode.operators.index import Index
 
 SMALL = 100_000
-BANDS = 1024
+#: Rows of one query that a task sorts by itself; of larger results, borders are drawn from about SAMPLE rows.
+BAND_ROWS, SAMPLE = 200_000, 4096
 
 
 def if_small(df: DataFrame, most: int = SMALL) -> DataFrame:
@@ -49,9 +50,10 @@ def fold(scores: DataFrame, content: float = fixed.CONTENT_SHARE, title: float =
 def rank(folded: DataFrame, digits: int | None = None, k: int | None = None) -> DataFrame:
     """(query_id, rank, document_id, score), rank from 0 per query; ``digits`` rounds first, ``k`` keeps the first only.
 
-    A first-k ranking is cut before its shuffle.  A full one numbers the rows of ``BANDS`` equal score
-    bands per query and adds the sizes of the bands above, so that one query with very many hits
-    is not sorted in one task.
+    A first-k ranking is cut before its shuffle.  A full one numbers rows inside bands and adds the
+    sizes of the bands above, so that one query with very many hits is not sorted in one task.  The
+    borders between bands are whole sort keys of sampled rows, ties included, so equal scores are
+    cut like others; which rows are sampled decides how even bands are and never the ranks.
     """
     score = F.col("score") if digits is None else F.round("score", digits)
     tie = F.col("best.zscore") if digits is None else F.round("best.zscore", digits)
@@ -60,9 +62,14 @@ def rank(folded: DataFrame, digits: int | None = None, k: int | None = None) ->
     if k is not None:
         out = rows.withColumn("place", F.row_number().over(W.partitionBy("query_id").orderBy(*order))).where(F.col("place") <= k)
         return out.select("query_id", (F.col("place") - 1).cast("bigint").alias("rank"), "document_id", "score")
-    ends = rows.groupBy("query_id").agg(F.max("score").alias("high"), F.min("score").alias("low"))
-    part = (F.col("high") - F.col("score")) / (F.col("high") - F.col("low")) * (BANDS - 1)
-    banded = rows.join(ends, "query_id").withColumn("band", F.when(F.col("high") > F.col("low"), F.floor(part)).otherwise(0))
+    key = F.struct("score", "tie_score", "tie_zone")
+    sized = rows.groupBy("query_id").agg(F.count(F.lit(1)).alias("held")).where(F.col("held") > BAND_ROWS)
+    drawn = rows.join(sized, "query_id").where(F.pmod(F.xxhash64("tie_zone"), F.greatest(F.lit(1), F.floor(F.col("held") / SAMPLE))) == 0)
+    sample = drawn.groupBy("query_id", "held").agg(F.sort_array(F.collect_list(key), asc=False).alias("keys"))
+    every = F.greatest(F.lit(1), F.floor(F.size("keys") * BAND_ROWS / F.col("held")).cast("int"))
+    borders = sample.select("query_id", F.filter("keys", lambda x, i: i % every == 0).alias("borders"))
+    above_all = F.coalesce(F.size(F.filter("borders", lambda b: b > key)), F.lit(0))
+    banded = rows.join(borders, "query_id", "left").withColumn("band", F.when(F.col("borders").isNull(), 0).otherwise(above_all)).drop("borders")
     sizes = banded.groupBy("query_id", "band").agg(F.count(F.lit(1)).alias("n"))
     above = sizes.select("query_id", "band", (F.sum("n").over(W.partitionBy("query_id").orderBy("band")) - F.col("n")).alias("above"))
     inside = F.row_number().over(W.partitionBy("query_id", "band").orderBy(*order)) - 1

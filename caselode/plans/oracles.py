@@ -79,8 +79,40 @@ select zone_doc_id, document_id, max(case when clause = (select clause from rare
 from found group by zone_doc_id, document_id having count(*) = {len(clauses)}"""
 
 
+LEXICON = values([(form, lemma) for lemma, forms in fixed.IRREGULAR_VERBS.items() for form in forms.split()], "surface, lemma")
+LEMMATISED = BASE.replace("tok as (", "raw_tok as (").replace("post as (", f"lex as (select surface, min(lemma) as lemma from {LEXICON} group by surface),\ntok as (select document_id, zone, zone_doc_id, importance, coalesce(lemma, term) as term, pos from raw_tok left join lex on surface = term),\npost as (", 1)
+
+
+def searched(mode: str) -> str:
+    """The ranked ids of ``SEARCHED``, from the lemmatised collection."""
+    if mode == "strict":
+        clauses = {"one": [["the"], ["la"], ["tion"], ["der"]], "two": [["of", "the"], ["in"], ["to", "the"]], "five": [["und"], ["die"]]}
+        rows = [(q, c, o, w, len(ws), len(cs)) for q, cs in clauses.items() for c, ws in enumerate(cs) for o, w in enumerate(ws)]
+        return f"""with {LEMMATISED},
+words as (select * from {values(rows, "query_id, clause, o, term, width, clauses")}),
+starts as (select query_id, clauses, clause, width, zone_doc_id, document_id, pos - o as start from tok join words using (term) group by all having count(*) = width),
+found as (select query_id, clauses, clause, zone_doc_id, document_id, count(*) as freq from starts group by all),
+sizes as (select query_id, clause, count(*) as zones from found group by all),
+rarest as (select query_id, min({{'z': zones, 'c': clause}}).c as rarest from sizes group by query_id),
+zone_hits as (select query_id, zone_doc_id, document_id, max(case when clause = rarest then freq end) as freq from found join rarest using (query_id) group by query_id, clauses, zone_doc_id, document_id having count(*) = clauses),
+docs as (select query_id, document_id, sum(freq) as score, max({{'f': freq, 'z': zone_doc_id}}) as best from zone_hits group by all)
+select query_id, row_number() over (partition by query_id order by score desc, best.f desc, best.z desc) - 1 as rank, document_id from docs"""
+    rows = [("one", w) for w in ("the", "la", "tion", "der")] + [("two", w) for w in ("of", "the", "in", "to", "the")] + [("four", w) for w in ("absent-word",)] + [("five", w) for w in ("und", "die")]
+    plain = f"(select query_id, token from {values(rows, 'query_id, token')})"
+    return f"""with {LEMMATISED},
+sets as (select * from {SETS}),
+expanded as (select query_id, token from {plain} union all select query_id, b.synonym from {plain} join sets a on a.synonym = token join sets b on b.set_id = a.set_id),
+terms as (select query_id, coalesce(lemma, term) as term, count(*) as qtf from (select query_id, unnest(regexp_extract_all(lower(token), '{TOKEN}')) as term from expanded) left join lex on surface = term group by all),
+{scores('terms')}, {ranked('zs')} select query_id, rank, document_id from ranked"""
+
+
 def sql() -> dict[str, str]:
     return {
+        "boolean_rank": f"select *, row_number() over (order by freq desc, zone_doc_id) - 1 as rank from ({strict([['of', 'the'], ['in'], ['to', 'the']])})",
+        "case_csv": "select cast(doc_id as varchar) as document_id, length(string_split(coalesce(text, ''), chr(10))[1]) as title_chars, length(coalesce(text, '')) as content_chars, coalesce(case when try_cast(regexp_extract(source, '^src([0-9]{1,3})$', 1) as integer) >= 0 then ([" + ", ".join(map(lit, (*fixed.HIGH_COURTS, *fixed.MEDIUM_COURTS))) + "])[try_cast(regexp_extract(source, '^src([0-9]{1,3})$', 1) as integer) + 1] end, '') as court from documents",
+        "index_lookup": f"with {LEMMATISED} select term, zone_doc_id, count(*) as tf, df, string_agg(cast(pos as varchar), ',' order by pos) as positions from tok join dict using (term) where term in ({', '.join(map(lit, L.LOOKUPS))}) group by term, zone_doc_id, df",
+        "search_ranked": searched("ranked"),
+        "search_strict": searched("strict"),
         "zone_unpivot": f"with {BASE} select document_id, zone, zone_doc_id, importance, case importance when 'H' then 10.0::double when 'M' then 8.5::double else 1.0::double end as multiplier, length(text) as n_chars from zones",
         "cjk_filter": f"select * from {values(L.TITLES, 'document_id, title')} where not regexp_matches(coalesce(title, ''), '^[\\x{{4e00}}-\\x{{9fff}}]')",
         "courts": f"select court, multiplier::double as multiplier from {values(L.COURTS, 'court, multiplier')}",

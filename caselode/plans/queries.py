@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caselode.functions import text
+from caselode.functions import fixed, text
 from caselode.functions.weighting import idf
 from caselode.operators import boolean, evaluate, expand, feedback, index, queryparse, score
+from caselode.plans import retrieval
 from caselode.plans import workloads as L
 from caselode.sources import corpus
 
@@ -18,11 +22,18 @@ def zoned(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def posts(spark: SparkSession, sf_dir: str, positions: bool = False) -> DataFrame:
-    return index.postings(index.tokens(zoned(spark, sf_dir)), positions)
+    return index.unrolled(index.forward(zoned(spark, sf_dir), positions=positions))
+
+
+def short_list(terms: DataFrame, most: int = 20_000) -> list[str] | None:
+    """The different terms, if there are ``most`` of them at the most."""
+    rows = terms.select("term").distinct().limit(most + 1).collect()
+    return sorted(r["term"] for r in rows) if len(rows) <= most else None
 
 
 def adhoc(zones: DataFrame, terms: DataFrame, positions: bool = False, literal: list[str] | None = None) -> index.Index:
-    """An index of the query's terms only: others are dropped as soon as they are made."""
+    """An index of the query's terms only: others are dropped as soon as they are made, inside the token arrays if the terms are few."""
+    literal = short_list(terms) if literal is None else literal
     toks = index.tokens(zones, terms=literal)
     if literal is None:
         toks = toks.join(score.if_small(terms.select("term").distinct()), "term", "left_semi")
@@ -62,7 +73,7 @@ def positional_postings(spark, sf_dir):
 
 def doc_freq_idf(spark, sf_dir):
     n = zoned(spark, sf_dir).agg(F.count(F.lit(1)).alias("n"))
-    return index.dictionary(posts(spark, sf_dir)).crossJoin(F.broadcast(n)).select("term", "df", F.round(idf(F.col("n"), F.col("df")), 6).alias("idf"))
+    return index.document_frequencies(zoned(spark, sf_dir)).crossJoin(F.broadcast(n)).select("term", "df", F.round(idf(F.col("n"), F.col("df")), 6).alias("idf"))
 
 
 def corpus_n(spark, sf_dir):
@@ -70,9 +81,8 @@ def corpus_n(spark, sf_dir):
 
 
 def doc_length(spark, sf_dir):
-    zones = zoned(spark, sf_dir)
-    got = index.doc_lengths(zones, index.postings(index.tokens(zones), False))
-    return got.select("zone_doc_id", F.round("doc_length", 6).alias("doc_length"))
+    held = index.weights(index.forward(zoned(spark, sf_dir), positions=False))
+    return held.select("zone_doc_id", F.round("doc_length", 6).alias("doc_length"))
 
 
 def parse_query_types(spark, sf_dir):
@@ -144,15 +154,36 @@ def boolean_phrase(spark, sf_dir):
     return strict(spark, sf_dir, L.MIXED_QUERY)
 
 
+def boolean_rank(spark, sf_dir):
+    """Matches of the mixed query as they are ranked: by frequency, then by zone."""
+    return boolean.ranked(strict(spark, sf_dir, L.MIXED_QUERY).withColumn("query_id", F.lit("q"))).drop("query_id")
+
+
 def top_terms(spark, sf_dir):
-    return index.top_terms(posts(spark, sf_dir)).select("zone_doc_id", "term", "tf", F.col("place").cast("long").alias("place"))
+    held = index.forward(zoned(spark, sf_dir), positions=False)
+    return index.top_terms(held).select("zone_doc_id", "term", "tf", F.col("place").cast("long").alias("place"))
+
+
+def fed_back(spark, sf_dir, digits: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(zones, the query's terms, the top terms of its best zones): only those few zones are looked into."""
+    zones, terms = zoned(spark, sf_dir), literal_terms(spark, L.RANKED)
+    found = adhoc(zones, terms, literal=sorted(set(L.RANKED)))
+    scores = score.zone_scores(terms, found.postings, found.dictionary, found.n, True)
+    if digits is not None:
+        scores = scores.withColumn("zscore", F.round("zscore", digits))
+    best = score.best_zones(scores, fixed.FEEDBACK_DOCS).select("query_id", "zone_doc_id")
+    near = zones.join(F.broadcast(best), "zone_doc_id")  # FEEDBACK_DOCS rows
+    more = index.top_terms(index.forward(near, positions=False))
+    return zones, terms, more.join(best, "zone_doc_id").select("query_id", "term")
 
 
 def prf_rank(spark, sf_dir):
-    zones = zoned(spark, sf_dir)
-    made = index.postings(index.tokens(zones), False)
-    found = index.Index(made, index.dictionary(made), zones.select("zone_doc_id"))
-    return feedback.rank_with_feedback(literal_terms(spark, L.RANKED), found, index.top_terms(made), 6)
+    """The few terms that feedback adds are fetched, so that the second pass keeps only the query's terms from the start, too."""
+    zones, terms, more = fed_back(spark, sf_dir)
+    added = [r["term"] for r in more.collect()]  # FEEDBACK_DOCS * FEEDBACK_TERMS at most
+    again = literal_terms(spark, L.RANKED + added)
+    found = adhoc(zones, again, literal=sorted({*L.RANKED, *added}))
+    return feedback.rank_again(again, found, 6)
 
 
 def bonus_zone_fold(spark, sf_dir):
@@ -163,12 +194,8 @@ def bonus_zone_fold(spark, sf_dir):
 
 
 def rocchio_weights(spark, sf_dir):
-    terms = literal_terms(spark, L.RANKED)
-    zones = zoned(spark, sf_dir)
-    made = index.postings(index.tokens(zones), False)
-    first = score.zone_scores(terms, made, index.dictionary(made), zones.agg(F.count(F.lit(1)).alias("n")), True)
-    got = feedback.rocchio(terms, feedback.feedback_terms(first.withColumn("zscore", F.round("zscore", 6)), index.top_terms(made)))
-    return got.select("term", F.round("weight", 6).alias("weight"))
+    _, terms, more = fed_back(spark, sf_dir, 6)
+    return feedback.rocchio(terms, more).select("term", F.round("weight", 6).alias("weight"))
 
 
 def relevance_rank(spark, sf_dir):
@@ -194,11 +221,65 @@ def courts(spark, sf_dir):
     return rows.select("court", text.multiplier(text.importance(F.col("court"))).alias("multiplier"))
 
 
+def stem_counts(spark, sf_dir):
+    """Porter stems of all different words of the documents, and how many words share each."""
+    words = index.document_frequencies(zoned(spark, sf_dir)).select("term")
+    return words.select(text.stem(F.col("term")).alias("stem")).groupBy("stem").agg(F.count(F.lit(1)).alias("words"))
+
+
+_saved: dict = {}
+
+
+def saved(spark: SparkSession, sf_dir: str) -> str:
+    """The folder of a saved index of the documents, made once a session: written as case CSVs, read, indexed and stored as a user would."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _saved:
+        shared = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+        folder = f"{shared or tempfile.mkdtemp(prefix='index-')}/index-{uuid.uuid4().hex}"
+        docs = corpus.cases_from_documents(corpus.spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")))
+        corpus.write_cases(docs, f"{folder}/cases")
+        retrieval.index_cases(spark, f"{folder}/cases", f"{folder}/index")
+        _saved[key] = f"{folder}/index"
+    return _saved[key]
+
+
+def case_csv(spark, sf_dir):
+    """Documents written as case CSVs and read back."""
+    got = corpus.read_cases(spark, saved(spark, sf_dir).removesuffix("index") + "cases")
+    return got.select("document_id", F.length("title").cast("long").alias("title_chars"), F.length("content").cast("long").alias("content_chars"), "court")
+
+
+def index_lookup(spark, sf_dir):
+    """Postings of two words and an unknown one, by point lookup in the saved index."""
+    found = index.load(spark, saved(spark, sf_dir))
+    rows = [index.lookup(found, t) for t in L.LOOKUPS]
+    out = rows[0].unionByName(rows[1]).unionByName(rows[2])
+    return out.select("term", "zone_doc_id", "tf", "df", F.array_join(F.transform("positions", lambda p: p.cast("string")), ",").alias("positions"))
+
+
+def saved_search(spark, sf_dir, mode: str) -> DataFrame:
+    """All stages of a search from query files to result files, in ``mode``; read back as (query_id, rank, document_id)."""
+    folder = saved(spark, sf_dir)
+    queries, out = f"{folder}-queries-{uuid.uuid4().hex}", f"{folder}-results-{uuid.uuid4().hex}"
+    corpus.write_queries(spark, L.SEARCHED, queries)
+    retrieval.search_files(spark, folder, queries, out, mode)
+    lines = spark.read.text(out).select(F.col("query_id").cast("string").alias("query_id"), F.posexplode(F.filter(F.split("value", " "), lambda x: x != "")).alias("rank", "document_id"))
+    return lines.select("query_id", F.col("rank").cast("long").alias("rank"), "document_id")
+
+
+def search_ranked(spark, sf_dir):
+    return saved_search(spark, sf_dir, "ranked")
+
+
+def search_strict(spark, sf_dir):
+    return saved_search(spark, sf_dir, "strict")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         zone_unpivot, cjk_filter, courts, tokenize_positions, lemma_join, postings_tf, positional_postings, doc_freq_idf, corpus_n, doc_length, parse_query_types, expand_custom,
         expand_topk, query_tf, rank_free_text, rank_batch_topk, boolean_and, phrase_match, boolean_phrase, top_terms, prf_rank, bonus_zone_fold, rocchio_weights, relevance_rank,
-        duplicate_postings, porter_stems,
+        duplicate_postings, porter_stems, boolean_rank, stem_counts, case_csv, index_lookup, search_ranked, search_strict,
     )
 }

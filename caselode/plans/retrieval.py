@@ -12,7 +12,7 @@ from caselode.sources import corpus
 
 def index_cases(spark: SparkSession, csv_path: str, index_path: str, with_feedback: bool = True) -> None:
     made = index.build(corpus.read_cases(spark, csv_path), text.default_lemmas(spark), with_feedback)
-    index.save(made, index_path, with_feedback)
+    index.save(made, index_path)
 
 
 def terms_of(queries: DataFrame, sets: DataFrame | None = None, thesaurus: DataFrame | None = None, lemmas: DataFrame | None = None, stemmed: bool = False) -> DataFrame:
@@ -25,7 +25,8 @@ def terms_of(queries: DataFrame, sets: DataFrame | None = None, thesaurus: DataF
 def search(queries: DataFrame, found: index.Index, *, mode: str = "ranked", k: int | None = None, sets: DataFrame | None = None, thesaurus: DataFrame | None = None) -> DataFrame:
     """(query_id, rank, document_id, score) of queries (query_id, query).
 
-    mode: ranked, feedback (needs an index built with feedback), or strict (Boolean and phrases as asked).
+    mode: ranked, feedback (needs an index built with feedback; query terms are stemmed there), or strict
+    (Boolean and phrases as asked, by frequency).
     """
     spark = queries.sparkSession
     if mode == "strict":
@@ -35,17 +36,20 @@ def search(queries: DataFrame, found: index.Index, *, mode: str = "ranked", k: i
     if mode == "feedback":
         sets = expand.synonym_sets(spark, fixed.FEEDBACK_SYNONYM_SETS) if sets is None else sets
         tops = found.doc_weights.select("zone_doc_id", F.explode("top_terms").alias("term"))
-        out = feedback.rank_with_feedback(terms_of(queries, sets, thesaurus, text.default_lemmas(spark)), found, tops)
+        out = feedback.rank_with_feedback(terms_of(queries, sets, thesaurus, text.default_lemmas(spark), stemmed=True), found, tops)
         return out if k is None else out.where(F.col("rank") < k)
     return score.search(terms_of(queries, sets, thesaurus, text.default_lemmas(spark)), found, k)
 
 
 def search_files(spark: SparkSession, index_path: str, query_path: str, out_path: str, mode: str = "ranked") -> None:
-    """Ranked ids of each query file as a line of text; an invalid query's line is empty."""
-    queries = corpus.read_queries(spark, query_path)
-    lines = corpus.result_lines(search(queries, index.load(spark, index_path), mode=mode))
-    full = queries.select("query_id").join(lines, "query_id", "left").select("query_id", F.coalesce("line", F.lit("")).alias("line"))
+    """Ranked ids of each query file as a line of text; an invalid query's file has no bytes."""
+    queries = queryparse.parse(corpus.read_queries(spark, query_path))
+    valid = queries.where("type <> 'invalid'").select("query_id", "query")
+    lines = corpus.result_lines(search(valid, index.load(spark, index_path), mode=mode))
+    full = valid.select("query_id").join(lines, "query_id", "left").select("query_id", F.coalesce("line", F.lit("")).alias("line"))
     full.write.mode("overwrite").partitionBy("query_id").text(out_path)
+    for row in queries.where("type = 'invalid'").select("query_id").toLocalIterator():
+        corpus.write_small(spark, f"{out_path}/query_id={row['query_id']}/part-0.txt", "")
 
 
 def sift(spark: SparkSession, result_path: str, topic: str) -> DataFrame:

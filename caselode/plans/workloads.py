@@ -1,4 +1,4 @@
-"""Inputs of the registered queries that no table holds."""
+"""Inputs of the registered queries that no table holds: fixed values."""
 
 TITLES = [("1", "Abc 中文"), ("2", "中文 abc"), ("3", ""), ("4", None), ("5", "Plain title"), ("6", "一"), ("7", "鿿 last of the block"), ("8", "、 punctuation only")]
 LEXICON = [("the", "v", "the-verb"), ("the", "n", "the-noun"), ("la", "v", "el"), ("der", "v", "die"), ("of", "n", "off")]
@@ -36,3 +36,6 @@ AND_QUERY, PHRASE_QUERY, MIXED_QUERY = "the AND of", '"of the"', '"of the" AND i
 ARRIVALS = [(1, "a", "1.t", 0), (2, "a", "1.c", 0), (2, "a", "1.c", 3), (3, "a", "2.c", 0), (4, "a", "1.c", 0), (4, "b", "1.c", 1)]
 STEMS = [("caresses", "caress"), ("ponies", "poni"), ("cats", "cat"), ("agreed", "agre"), ("plastered", "plaster"), ("motoring", "motor"), ("hopping", "hop"), ("falling", "fall"), ("filing", "file"), ("happy", "happi"), ("sky", "sky"), ("relational", "relat"), ("rational", "ration"), ("digitizer", "digit"), ("triplicate", "triplic"), ("formalize", "formal"), ("hopeful", "hope"), ("goodness", "good"), ("adjustable", "adjust"), ("adoption", "adopt"), ("controller", "control"), ("probate", "probat"), ("rate", "rate"), ("controll", "control"), ("roll", "roll")]
 COURTS = [("UK Supreme Court", 10.0), ("SG High Court", 8.5), ("SG Magistrates Court", 1.0), ("", 1.0)]
+LOOKUPS = ["the", "la", "absent-word"]
+#: File name, query; of words that the documents hold.
+SEARCHED = [("one", "the la tion der"), ("two", '"of the" AND in AND "to the"'), ("three", "the AND AND of"), ("four", "absent-word"), ("five", "und AND die")]

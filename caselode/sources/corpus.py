@@ -18,8 +18,7 @@ def spread(df: DataFrame) -> DataFrame:
     cores and is left where it is.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    splits = df._jdf.queryExecution().toRdd().getNumPartitions()
-    return df.repartition(cores) if splits < cores else df
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def read_cases(spark: SparkSession, path: str) -> DataFrame:
@@ -28,6 +27,12 @@ def read_cases(spark: SparkSession, path: str) -> DataFrame:
     return raw.fillna("", ["title", "content", "court"])
 
 
+def write_cases(cases: DataFrame, path: str) -> None:
+    """Case files as ``read_cases`` reads them; what has no date has an empty one."""
+    dated = cases.withColumn("date_posted", F.lit("")).select("document_id", "title", "content", "date_posted", "court")
+    dated.write.mode("overwrite").option("header", True).option("quoteAll", True).option("quote", '"').option("escape", '"').option("encoding", "UTF-8").csv(path)
+
+
 def cases_from_documents(docs: DataFrame) -> DataFrame:
     """The ``documents`` table as cases: the first line is the title; a source's number picks its court."""
     names = F.array(*[F.lit(c) for c in (*fixed.HIGH_COURTS, *fixed.MEDIUM_COURTS)])
@@ -44,6 +49,30 @@ def read_queries(spark: SparkSession, path: str) -> DataFrame:
     return raw.select("query_id", F.col("lines")[0].alias("query"), F.transform(rest, lambda x: F.trim(x).cast("bigint")).alias("relevant_docs"))
 
 
+def files(spark: SparkSession, path: str):
+    """(the file system of ``path``, its path): for small files that the driver writes."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def write_small(spark: SparkSession, path: str, content: str) -> None:
+    """One file with this content, without a line's end added."""
+    system, at = files(spark, path)
+    out = system.create(at, True)
+    try:
+        if content:
+            out.write(bytearray(content.encode()))
+    finally:
+        out.close()
+
+
+def write_queries(spark: SparkSession, queries: list[tuple[str, str]], path: str) -> None:
+    """Query files, one for each (name, query)."""
+    for name, query in queries:
+        write_small(spark, f"{path}/{name}.txt", query)
+
+
 def result_lines(results: DataFrame) -> DataFrame:
     """(query_id, line): ranked ids, each followed by a space; a query without results has an empty line.
 

@@ -141,7 +141,9 @@ def test_query_files_results_and_sift(spark, tmp_path, golden):
     index.save(golden, str(tmp_path / "index"))
     retrieval.search_files(spark, str(tmp_path / "index"), str(tmp_path / "q"), str(tmp_path / "out"))
     lines = {r["query_id"]: r["value"] for r in spark.read.text(str(tmp_path / "out")).collect()}
-    assert lines["q1"] == "246391 " and lines["bad"] == ""
+    assert lines == {"q1": "246391 "}
+    empty = [f for f in (tmp_path / "out" / "query_id=bad").iterdir() if not f.name.endswith(".crc")]
+    assert [f.stat().st_size for f in empty] == [0]
     (tmp_path / "result.txt").write_text("9 2748529 8 2211154 9 ")
     got = {r["document_id"]: r["rank"] for r in retrieval.sift(spark, str(tmp_path / "result.txt"), "2").collect()}
     assert got == {"2211154": 3, "2748529": 1}
@@ -184,3 +186,29 @@ def test_streamed_postings_equal_batch(spark, tmp_path):
 
 def test_every_core_query_has_an_oracle():
     assert set(queries.QUERIES) == set(oracles.sql())
+
+
+def test_ranks_do_not_depend_on_bands(spark, monkeypatch):
+    rng = random.Random(3)
+    rows = [(f"q{i % 2}", f"{i}.c", str(i), "c", float(rng.choice([1, 1, 1, 2, 3]))) for i in range(400)]
+    scores = spark.createDataFrame(rows, "query_id string, zone_doc_id string, document_id string, zone string, zscore double")
+    plain = sorted(map(tuple, score.rank(score.fold(scores)).collect()))
+    monkeypatch.setattr(score, "BAND_ROWS", 20)
+    monkeypatch.setattr(score, "SAMPLE", 50)
+    assert sorted(map(tuple, score.rank(score.fold(scores)).collect())) == plain
+    want = sorted((r for r in rows if r[0] == "q0"), key=lambda r: (r[4], r[1]), reverse=True)
+    assert [r[2] for r in plain if r[0] == "q0"] == [r[2] for r in want] and [r[1] for r in plain if r[0] == "q0"] == list(range(200))
+
+
+def test_forward_rows_equal_grouped_postings(spark, monkeypatch):
+    rows = [("1", "t", "1.t", "to be or not to be", "L"), ("1", "c", "1.c", "", "L"), ("2", "c", "2.c", "Went to town; went home. " * 50, "H")]
+    zoned = spark.createDataFrame(rows, "document_id string, zone string, zone_doc_id string, text string, importance string")
+    lexicon = text.default_lemmas(spark)
+    want = sorted((r["zone_doc_id"], r["term"], r["tf"], tuple(r["positions"])) for r in index.postings(index.tokens(zoned, lexicon)).collect())
+    for small in (True, False):
+        if not small:
+            monkeypatch.setattr(text, "lemma_map", lambda lemmas: None)  # as for a lexicon that is joined
+        held = index.forward(zoned, lexicon)
+        assert sorted((r["zone_doc_id"], r["term"], r["tf"], tuple(r["positions"])) for r in index.unrolled(held).collect()) == want
+        lengths = {r["zone_doc_id"]: r["doc_length"] for r in index.weights(held).collect()}
+        assert lengths["1.c"] == 0 and lengths["1.t"] == pytest.approx((2 * (1 + math.log10(2)) ** 2 + 2) ** 0.5)
