@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -234,8 +233,7 @@ def saved(spark: SparkSession, sf_dir: str) -> str:
     """The folder of a saved index of the documents, made once a session: written as case CSVs, read, indexed and stored as a user would."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _saved:
-        shared = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-        folder = f"{shared or tempfile.mkdtemp(prefix='index-')}/index-{uuid.uuid4().hex}"
+        folder = f"{corpus.shared_folder(spark)}/index-{uuid.uuid4().hex}"
         docs = corpus.cases_from_documents(corpus.spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")))
         corpus.write_cases(docs, f"{folder}/cases")
         retrieval.index_cases(spark, f"{folder}/cases", f"{folder}/index")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,6 +51,15 @@ def read_queries(spark: SparkSession, path: str) -> DataFrame:
     return raw.select("query_id", F.col("lines")[0].alias("query"), F.transform(rest, lambda x: F.trim(x).cast("bigint")).alias("relevant_docs"))
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster shares, from spark.checkpoint.dir; only a local session without that setting gets one of its own."""
+    sc = spark.sparkContext
+    named = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return named or tempfile.mkdtemp(prefix="shared-")
+
+
 def files(spark: SparkSession, path: str):
     """(the file system of ``path``, its path): for small files that the driver writes."""
     jvm = spark.sparkContext._jvm
