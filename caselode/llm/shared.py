@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 #: Delete a query's shuffle files when it ends, rather than when the driver's collector finds it gone.
 CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_setting = threading.Lock()
+_tables: dict[str, list[str]] = {}
 
 
 def folder(df: DataFrame) -> str:
@@ -34,12 +37,23 @@ def stored(df: DataFrame) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: for large steps.
 
     Compressed, computed in one pass, and the shuffle files behind it go as soon as it is written.
+    Tables stay until ``release``, as results that read them are lazy.
     """
-    conf, path = df.sparkSession.conf, f"{folder(df)}/table-{uuid.uuid4().hex}"
-    before = conf.get(CLEAN, "false")
-    conf.set(CLEAN, "true")
-    try:
-        df.select("*").write.parquet(path)  # a new plan: the setting is read when a plan is made
-    finally:
-        conf.set(CLEAN, before)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark, path = df.sparkSession, f"{folder(df)}/table-{uuid.uuid4().hex}"
+    with _setting:  # one thread at a time holds the setting; the plan is made while it holds
+        before = spark.conf.get(CLEAN, "false")
+        spark.conf.set(CLEAN, "true")
+        try:
+            df.select("*").write.parquet(path)  # a new plan: the setting is read when a plan is made
+        finally:
+            spark.conf.set(CLEAN, before)
+    _tables.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete the tables that ``stored`` made in this application: once the results that read them are written."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in _tables.pop(spark.sparkContext.applicationId, []):
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(conf).delete(at, True)

@@ -40,14 +40,14 @@ def path_of(url: Column) -> Column:
     return F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://[^/?#]*([^?#]*)", 1)
 
 
-def suffix_of(host: Column) -> Column:
+def suffix_of(host: Column, suffixes=TWO_LABEL_SUFFIXES) -> Column:
     two = F.substring_index(host, ".", -2)
-    return F.when(host.rlike(r"^[0-9.]+$"), host).when(two.isin(*TWO_LABEL_SUFFIXES), two).otherwise(F.substring_index(host, ".", -1))
+    return F.when(host.rlike(r"^[0-9.]+$"), host).when(two.isin(*suffixes), two).otherwise(F.substring_index(host, ".", -1))
 
 
-def domain_of(host: Column) -> Column:
+def domain_of(host: Column, suffixes=TWO_LABEL_SUFFIXES) -> Column:
     two = F.substring_index(host, ".", -2)
-    return F.when(host.rlike(r"^[0-9.]+$"), host).when(two.isin(*TWO_LABEL_SUFFIXES), F.substring_index(host, ".", -3)).otherwise(two)
+    return F.when(host.rlike(r"^[0-9.]+$"), host).when(two.isin(*suffixes), F.substring_index(host, ".", -3)).otherwise(two)
 
 
 def rule_for(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
@@ -59,9 +59,9 @@ def rule_for(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return name, verdict
 
 
-def with_parts(pages: DataFrame, url: str, p: str) -> DataFrame:
+def with_parts(pages: DataFrame, url: str, p: str, suffixes=TWO_LABEL_SUFFIXES) -> DataFrame:
     pages = pages.withColumns({p + "host": host_of(F.col(url)), p + "path": path_of(F.col(url))})
-    return pages.withColumns({p + "domain": domain_of(F.col(p + "host")), p + "suffix": suffix_of(F.col(p + "host"))})
+    return pages.withColumns({p + "domain": domain_of(F.col(p + "host"), suffixes), p + "suffix": suffix_of(F.col(p + "host"), suffixes)})
 
 
 def strength(groups: DataFrame, n: str, bad: str) -> DataFrame:
@@ -109,15 +109,16 @@ def reputation(labelled: DataFrame, z: float = Z) -> tuple[DataFrame, DataFrame,
     )
 
 
-def judge(pages: DataFrame, outcomes: DataFrame, url: str = "url", key: str = "page_id", bad: str = "bad", *, rules=RULES, limit: float = LIMIT, z: float = Z, prefix: str = "") -> DataFrame:
+def judge(pages: DataFrame, outcomes: DataFrame, url: str = "url", key: str = "page_id", bad: str = "bad", *, rules=RULES, suffixes=TWO_LABEL_SUFFIXES, limit: float = LIMIT, z: float = Z, prefix: str = "") -> DataFrame:
     """``pages`` with host, path, rule, posterior, bound and verdict (named with ``prefix``).
 
+    suffixes: the public suffixes of two labels (one label is a suffix anyhow); pass a full list for wide crawls.
     outcomes: (key, bad) labels of pages.  A host without outcomes has the posterior bound of its
     domain, or else its suffix; without outcomes there either it has none and is allowed.  Labels
     meet only the url's parts of labelled pages, never the page bodies.
     """
     p = "__url_"
-    parts = with_parts(pages.select(F.col(key).alias(p + "key"), F.col(url).alias(p + "url")), p + "url", p)
+    parts = with_parts(pages.select(F.col(key).alias(p + "key"), F.col(url).alias(p + "url")), p + "url", p, suffixes)
     named = outcomes.where(F.col(bad).isNotNull()).select(F.col(key).alias(p + "key"), F.col(bad).cast("long").alias("bad"))
     places = [F.col(p + c).alias(c) for c in ("host", "domain", "suffix")]
     labelled = parts.join(named, p + "key").select(*places, "bad")

@@ -4,6 +4,10 @@ import hashlib
 import re
 from collections import Counter, defaultdict
 
+import zstandard
+
+from caselode.llm import quality_bands
+
 SPACE_WORD = re.compile(r"[^\x20\x09-\x0D]+")
 ITEM_WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -105,6 +109,21 @@ def quality(text):
     return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in text), dup, len(rep), failed
 
 
+def in_band(text):
+    packer = zstandard.ZstdCompressor(level=3, write_content_size=False, write_checksum=False)
+
+    def ratio(raw):
+        return len(raw) / max(1, len(packer.compress(raw)) - 9)
+
+    raw = text.encode()
+    lo, hi = next((a, b) for top, a, b in quality_bands.BANDS if len(raw) < top)
+    if not lo <= ratio(raw) <= hi:
+        return False
+    lo, hi = next((a, b) for top, a, b in quality_bands.BANDS if 4095 < top)
+    chunks = [raw[i : i + 4096] for i in [*range(0, len(raw) - 4096, 4096), len(raw) - 4096]] if len(raw) > 4096 else []
+    return sum(not lo <= ratio(c) <= hi for c in chunks) <= 0.5 * len(chunks)
+
+
 def shingles(text, k=3):
     w = SPACE_WORD.findall(low(text))
     return frozenset(tuple(w[i : i + k]) for i in range(len(w) - k + 1)) if len(w) >= k else frozenset([tuple(w)] if w else [])
@@ -201,3 +220,30 @@ def threads(messages, attribution):
             place += 1
             stack += [(c, depth + 1) for c in reversed(children[turn])]
     return told
+
+
+def candidates(text, generators, levels, cues, context, borders):
+    """[(start, end, ord, cell, confirmed, tried)] of the wide generators: (ord, shape, pattern)."""
+    base = spans(text, PII)
+    tried = [(m.start(), m.end()) for name, rx, _ in PII[1:] for m in re.finditer(rx, text) if name != "card" or len(digits(m[0])) >= 14]
+    out = []
+    for ord_, shape, rx in generators:
+        for m in re.finditer(rx, text):
+            a, b = m.span()
+            n, seps = len(digits(m[0])), re.sub(r"[^ ().\-\[\]]", "", m[0])
+            only = {"": 0} | {c * len(seps): i for i, c in ((1, " "), (2, "-"), (3, ".")) if seps}
+            style = only.get(seps, 4 if "(" in seps else 5)
+            before = text[max(0, a - context) : a].lower()
+            cue = max([0] + [i + 1 for i, (_, names) in enumerate(cues) if re.search(rf"\b(?:{names})", before, re.ASCII)])
+            edge = before[-2:].replace("+", " ")[-1:]
+            after = text[b : b + 1]
+
+            def side(c, money):
+                return 0 if not c or c in " \t\n\x0b\f\r" else 1 if c in money else 2 if c.isalnum() or c == "_" else 3
+
+            values = (shape, sum(n >= x for x in borders), min(len(seps), 4), style, cue, side(edge, "$#€£%"), side(after, "%€$£"))
+            cell = 0
+            for v, k in zip(values, levels):
+                cell = cell * k + v
+            out.append((a, b, ord_, cell, any(x < b and a < y for x, _, y, _ in base), any(x < b and a < y for x, y in tried)))
+    return out

@@ -210,6 +210,22 @@ def test_pii_base_spans(spark):
     assert by_id(got) == by_id((i, *[plain.spelled(plain.spans(t, plain.PII))] * 2) for i, t in rows)
 
 
+def test_pii_candidates_and_added_spans_equal_the_plain_version(spark):
+    rng = random.Random(15)
+    bits = ["call me", "tel +1", "card no", "$", "invoice:", "(310) 555-4510", "4111 1111 1111 1111", "joe [at] mail [dot] org", "a@b.c", "192.168.0.300", "12-34-56-78", "1.2.3.4", "é漢", "+", "#", "2024-01-02 03", "%", "\n", "x1234567y", "123 456 7890,"]
+    texts = ["".join(rng.choice(bits) + rng.choice(["", " ", " "]) for _ in range(rng.randrange(1, 40))) for _ in range(40)] + ["", "  12345678  ", "1234567 " * 300]
+    found = pii.find_candidates(spark.createDataFrame(list(enumerate(texts)), DOCS))
+    generators = ((4, 0, pii.WIDE_CONTACT), (5, 1, pii.WIDE_NUMBER))
+    want = {i: plain.candidates(t, generators, pii.LEVELS, pii.CUES, pii.CONTEXT, (1, 7, 9, 10, 11, 14, 17)) for i, t in enumerate(texts)}
+    assert {r["doc_id"]: [tuple(c) for c in r["__pii_wide"]] for r in found.collect()} == want
+    trees, bias = pii.boost(np.array([pii.unpacked(c[3]) for w in want.values() for c in w]), np.array([int(c[4]) for w in want.values() for c in w]), np.ones(sum(map(len, want.values())), int))
+    model = pii.Model(trees, bias, -1.0)
+    got = {r["doc_id"]: r["s"] for r in pii.select(found, model).select("doc_id", S.spelled(F.col("spans"), pii.KINDS).alias("s")).collect()}
+    for i, t in enumerate(texts):
+        more = [(a, o, b, pii.KINDS[o]) for a, b, o, cell, good, tried in want[i] if not good and not tried and pii.scored(trees, bias, np.array([pii.unpacked(cell)]))[0] >= -1.0 - 1e-9]
+        assert got[i] == plain.spelled(sorted([*plain.spans(t, plain.PII), *more]))
+
+
 def test_pii_trees_add_what_looks_like_the_confirmed(spark):
     rng = random.Random(9)
 

@@ -4,10 +4,8 @@ import random
 from collections import Counter
 
 import plain
-import zstandard
 
 import corpus_pipeline
-from caselode.llm import quality_bands
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 SYLLABLES = [a + b + c for a in "bdfgklmnprst" for b in "aeiou" for c in ("", "n", "r", "s")]
@@ -17,21 +15,6 @@ def prose(rng, n):
     return " ".join("".join(rng.choice(SYLLABLES) for _ in range(rng.randrange(1, 4))) for _ in range(n))
 
 
-def in_band(text):
-    packer = zstandard.ZstdCompressor(level=3, write_content_size=False, write_checksum=False)
-
-    def ratio(raw):
-        return len(raw) / max(1, len(packer.compress(raw)) - 9)
-
-    raw = text.encode()
-    lo, hi = next((a, b) for top, a, b in quality_bands.BANDS if len(raw) < top)
-    if not lo <= ratio(raw) <= hi:
-        return False
-    lo, hi = next((a, b) for top, a, b in quality_bands.BANDS if 4095 < top)
-    chunks = [raw[i : i + 4096] for i in [*range(0, len(raw) - 4096, 4096), len(raw) - 4096]] if len(raw) > 4096 else []
-    return sum(not lo <= ratio(c) <= hi for c in chunks) <= 0.5 * len(chunks)
-
-
 def redacted(text):
     out, at = "", 0
     for a, _, b, name in plain.spans(text, plain.PII):
@@ -42,7 +25,7 @@ def redacted(text):
 
 
 def plain_pipeline(docs, items):
-    docs = [d for d in docs if d[1] and not plain.quality(d[1])[-1] and in_band(d[1])]
+    docs = [d for d in docs if d[1] and not plain.quality(d[1])[-1] and plain.in_band(d[1])]
     groups = plain.near_groups([(d[0], d[1]) for d in docs], 5, 80)
     seen, once = set(), []
     for d in docs:

@@ -60,3 +60,4 @@ def test_op8_base_columns(spark, docs):
     got = {r["doc_id"]: r for r in QUERIES["op8_quality_bands"](spark, SF).collect()}
     for d, text, _ in docs:
         assert (got[d]["n_words"], got[d]["word_chars"], got[d]["n_symbols"], got[d]["n_dup_lines"], got[d]["n_repeat_words"], got[d]["base_failed"]) == plain.quality(text)
+        assert got[d]["kept"] == (not got[d]["base_failed"] and plain.in_band(text or ""))
