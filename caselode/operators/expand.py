@@ -38,26 +38,32 @@ def top_synonyms(terms: DataFrame, thesaurus: DataFrame, k: int = fixed.SYNONYMS
 
 
 def expand(parsed: DataFrame, sets: DataFrame, thesaurus: DataFrame | None = None, k: int = fixed.SYNONYMS_PER_TERM) -> DataFrame:
-    """(query_id, token): the raw tokens and the synonyms of each, duplicates kept, as they decide term weights.
+    """(query_id, token, pos): the raw tokens and the synonyms of each, duplicates kept, as they decide term weights.
 
-    parsed: with query_id and raw_tokens, optionally tags (Penn tags, by token).
+    parsed: with query_id and raw_tokens, optionally tags (Penn tags, by token).  pos is the word class of a
+    tagged token, empty for others and for synonyms.
     """
     tags = F.col("tags") if "tags" in parsed.columns else F.array().cast("array<string>")
     flat = parsed.select("query_id", tags.alias("tags"), F.posexplode("raw_tokens").alias("at", "token"))
     toks = flat.select("query_id", "at", "token", text.wordnet_pos(F.coalesce(F.try_element_at("tags", F.col("at") + 1), F.lit(""))).alias("pos"))
-    out = toks.select("query_id", "token").unionByName(custom(toks, sets).select("query_id", F.col("synonym").alias("token")))
+    new = ["query_id", F.col("synonym").alias("token"), F.lit("").alias("pos")]
+    out = toks.select("query_id", "token", "pos").unionByName(custom(toks, sets).select(*new))
     if thesaurus is not None:
         unknown = toks.join(sets.select(F.col("synonym").alias("token")).distinct(), "token", "left_anti")
         ranked = top_synonyms(unknown.select(F.col("token").alias("term"), "pos"), thesaurus, k)
         more = unknown.join(ranked.select(F.col("term").alias("token"), "pos", "synonym"), ["token", "pos"])
-        out = out.unionByName(more.select("query_id", F.col("synonym").alias("token")))
+        out = out.unionByName(more.select(*new))
     return out
 
 
 def query_terms(expanded: DataFrame, lemmas: DataFrame | None = None, stemmed: bool = False) -> DataFrame:
-    """(query_id, term, qtf): the expanded query tokenised again, so that synonyms of several words fall apart."""
-    terms = expanded.select("query_id", F.explode(text.tokens(F.col("token"))).alias("surface"))
-    terms = text.lemmatized(terms, lemmas).drop("surface")
+    """(query_id, term, qtf): the expanded query tokenised again, so that synonyms of several words fall apart.
+
+    Lemmas are those of the token's word class where ``expanded`` has pos, else of verbs.
+    """
+    kind = F.col("pos") if "pos" in expanded.columns else F.lit("")
+    terms = expanded.select("query_id", kind.alias("pos"), F.explode(text.tokens(F.col("token"))).alias("surface"))
+    terms = text.lemmatized(terms, lemmas, pos=F.col("pos"))
     if stemmed:
         terms = terms.withColumn("term", text.stem(F.col("term")))
     return terms.groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))

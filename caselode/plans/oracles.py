@@ -1,6 +1,7 @@
 """DuckDB statements with the rows of the registered queries."""
 
 from caselode.functions import fixed
+from caselode.functions.text import porter
 from caselode.plans import workloads as L
 
 TOKEN = r"[\p{L}\p{N}]+(?:[-''][\p{L}\p{N}]+)*|[^\s\p{L}\p{N}]"
@@ -99,11 +100,26 @@ docs as (select query_id, document_id, sum(freq) as score, max({{'f': freq, 'z':
 select query_id, row_number() over (partition by query_id order by score desc, best.f desc, best.z desc) - 1 as rank, document_id from docs"""
     rows = [("one", w) for w in ("the", "la", "tion", "der")] + [("two", w) for w in ("of", "the", "in", "to", "the")] + [("four", w) for w in ("absent-word",)] + [("five", w) for w in ("und", "die")]
     plain = f"(select query_id, token from {values(rows, 'query_id, token')})"
-    return f"""with {LEMMATISED},
-sets as (select * from {SETS}),
+    members = fixed.FEEDBACK_SYNONYM_SETS if mode == "feedback" else fixed.SYNONYM_SETS
+    sets = values([(i, w) for i, ws in enumerate(members) for w in ws], "set_id, synonym")
+    lemmas = {form: lemma for lemma, forms in fixed.IRREGULAR_VERBS.items() for form in forms.split()}
+    words = {w for _, t in rows for w in (t, lemmas.get(t, t))} | {w for ws in members for s in ws for t in s.lower().split() for w in (t, lemmas.get(t, t))}
+    stems = values(sorted((w, porter(w)) for w in words), "word, stem")
+    term = "coalesce(stem, lemma, term)" if mode == "feedback" else "coalesce(lemma, term)"
+    made = f"""with {LEMMATISED},
+sets as (select * from {sets}),
 expanded as (select query_id, token from {plain} union all select query_id, b.synonym from {plain} join sets a on a.synonym = token join sets b on b.set_id = a.set_id),
-terms as (select query_id, coalesce(lemma, term) as term, count(*) as qtf from (select query_id, unnest(regexp_extract_all(lower(token), '{TOKEN}')) as term from expanded) left join lex on surface = term group by all),
-{scores('terms')}, {ranked('zs')} select query_id, rank, document_id from ranked"""
+terms as (
+  select query_id, {term} as term, count(*) as qtf from (select query_id, unnest(regexp_extract_all(lower(token), '{TOKEN}')) as term from expanded)
+  left join lex on surface = term left join (select * from {stems}) on word = coalesce(lemma, term) group by all),
+{scores('terms')}"""
+    if mode == "ranked":
+        return f"{made}, {ranked('zs')} select query_id, rank, document_id from ranked"
+    return f"""{made}, {TOPS},
+best as (select * from zs qualify row_number() over (partition by query_id order by zscore desc, zone_doc_id desc) <= 5),
+more as (select query_id, term, count(*) as qtf from best join tops using (zone_doc_id) group by all),
+again as (select query_id, term, cast(sum(qtf) as bigint) as qtf from (select * from terms union all select * from more) group by all), {scores('again', 'za')},
+cut as (select * from za qualify row_number() over (partition by query_id order by zscore desc, zone_doc_id desc) <= 3500), {ranked('cut', 0.5, 0.5)} select query_id, rank, document_id from ranked"""
 
 
 def sql() -> dict[str, str]:
@@ -112,7 +128,14 @@ def sql() -> dict[str, str]:
         "case_csv": "select cast(doc_id as varchar) as document_id, length(string_split(coalesce(text, ''), chr(10))[1]) as title_chars, length(coalesce(text, '')) as content_chars, coalesce(case when try_cast(regexp_extract(source, '^src([0-9]{1,3})$', 1) as integer) >= 0 then ([" + ", ".join(map(lit, (*fixed.HIGH_COURTS, *fixed.MEDIUM_COURTS))) + "])[try_cast(regexp_extract(source, '^src([0-9]{1,3})$', 1) as integer) + 1] end, '') as court from documents",
         "index_lookup": f"with {LEMMATISED} select term, zone_doc_id, count(*) as tf, df, string_agg(cast(pos as varchar), ',' order by pos) as positions from tok join dict using (term) where term in ({', '.join(map(lit, L.LOOKUPS))}) group by term, zone_doc_id, df",
         "search_ranked": searched("ranked"),
+        "search_feedback": searched("feedback"),
         "search_strict": searched("strict"),
+        "expand_thesaurus": f"""with raw as (select query_id, unnest(string_split(query, ' ')) as token from {values(L.UNKNOWN, 'query_id, query')}), sets as (select * from {SETS}),
+f as (select term, synonym, min(rank) as rank from {values(L.THESAURUS, 'term, pos, rank, synonym')} where regexp_matches(synonym, '^[\\p{{L}}\\p{{N}}]+$') and synonym <> term and synonym <> 'AND' group by term, synonym),
+p as (select * from f qualify row_number() over (partition by term order by rank, synonym) <= 3)
+select query_id, token, count(*) as n from (
+  select query_id, token from raw union all select query_id, b.synonym from raw join sets a on a.synonym = token join sets b on b.set_id = a.set_id
+  union all select query_id, p.synonym from raw join p on term = token where token not in (select synonym from sets)) group by all""",
         "zone_unpivot": f"with {BASE} select document_id, zone, zone_doc_id, importance, case importance when 'H' then 10.0::double when 'M' then 8.5::double else 1.0::double end as multiplier, length(text) as n_chars from zones",
         "cjk_filter": f"select * from {values(L.TITLES, 'document_id, title')} where not regexp_matches(coalesce(title, ''), '^[\\x{{4e00}}-\\x{{9fff}}]')",
         "courts": f"select court, multiplier::double as multiplier from {values(L.COURTS, 'court, multiplier')}",

@@ -106,6 +106,14 @@ def expand_topk(spark, sf_dir):
     return expand.top_synonyms(words, thesaurus, 3).select("term", "synonym", F.col("place").cast("long").alias("place"))
 
 
+def expand_thesaurus(spark, sf_dir):
+    """Custom sets first, ranked synonyms for the words that no set holds."""
+    words = queryparse.raw_tokens(queryparse.parse(spark.createDataFrame(L.UNKNOWN, "query_id string, query string")))
+    thesaurus = spark.createDataFrame(L.THESAURUS, "term string, pos string, rank int, synonym string")
+    got = expand.expand(words, expand.synonym_sets(spark), thesaurus, 3)
+    return got.groupBy("query_id", "token").agg(F.count(F.lit(1)).alias("n"))
+
+
 def query_tf(spark, sf_dir):
     return expand.query_terms(expand.expand(parsed_words(spark), expand.synonym_sets(spark)))
 
@@ -260,7 +268,7 @@ def saved_search(spark, sf_dir, mode: str) -> DataFrame:
     folder = saved(spark, sf_dir)
     queries, out = f"{folder}-queries-{uuid.uuid4().hex}", f"{folder}-results-{uuid.uuid4().hex}"
     corpus.write_queries(spark, L.SEARCHED, queries)
-    retrieval.search_files(spark, folder, queries, out, mode)
+    retrieval.search_files(spark, folder, queries, out, mode, 6)
     lines = spark.read.text(out).select(F.col("query_id").cast("string").alias("query_id"), F.posexplode(F.filter(F.split("value", " "), lambda x: x != "")).alias("rank", "document_id"))
     return lines.select("query_id", F.col("rank").cast("long").alias("rank"), "document_id")
 
@@ -269,6 +277,10 @@ def search_ranked(spark, sf_dir):
     return saved_search(spark, sf_dir, "ranked")
 
 
+def search_feedback(spark, sf_dir):
+    return saved_search(spark, sf_dir, "feedback")
+
+
 def search_strict(spark, sf_dir):
     return saved_search(spark, sf_dir, "strict")
 
@@ -278,6 +290,6 @@ QUERIES = {
     for f in (
         zone_unpivot, cjk_filter, courts, tokenize_positions, lemma_join, postings_tf, positional_postings, doc_freq_idf, corpus_n, doc_length, parse_query_types, expand_custom,
         expand_topk, query_tf, rank_free_text, rank_batch_topk, boolean_and, phrase_match, boolean_phrase, top_terms, prf_rank, bonus_zone_fold, rocchio_weights, relevance_rank,
-        duplicate_postings, porter_stems, boolean_rank, stem_counts, case_csv, index_lookup, search_ranked, search_strict,
+        duplicate_postings, porter_stems, boolean_rank, stem_counts, case_csv, index_lookup, search_ranked, search_feedback, search_strict, expand_thesaurus,
     )
 }

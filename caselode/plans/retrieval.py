@@ -22,11 +22,12 @@ def terms_of(queries: DataFrame, sets: DataFrame | None = None, thesaurus: DataF
     return expand.query_terms(expand.expand(parsed, sets, thesaurus), lemmas, stemmed)
 
 
-def search(queries: DataFrame, found: index.Index, *, mode: str = "ranked", k: int | None = None, sets: DataFrame | None = None, thesaurus: DataFrame | None = None) -> DataFrame:
+def search(queries: DataFrame, found: index.Index, *, mode: str = "ranked", k: int | None = None, sets: DataFrame | None = None, thesaurus: DataFrame | None = None, digits: int | None = None) -> DataFrame:
     """(query_id, rank, document_id, score) of queries (query_id, query).
 
     mode: ranked, feedback (needs an index built with feedback; query terms are stemmed there), or strict
-    (Boolean and phrases as asked, by frequency).
+    (Boolean and phrases as asked, by frequency).  queries may have tags, Penn tags of their raw tokens;
+    digits rounds scores before they are compared, so that sums of another order rank alike.
     """
     spark = queries.sparkSession
     if mode == "strict":
@@ -36,16 +37,16 @@ def search(queries: DataFrame, found: index.Index, *, mode: str = "ranked", k: i
     if mode == "feedback":
         sets = expand.synonym_sets(spark, fixed.FEEDBACK_SYNONYM_SETS) if sets is None else sets
         tops = found.doc_weights.select("zone_doc_id", F.explode("top_terms").alias("term"))
-        out = feedback.rank_with_feedback(terms_of(queries, sets, thesaurus, text.default_lemmas(spark), stemmed=True), found, tops)
+        out = feedback.rank_with_feedback(terms_of(queries, sets, thesaurus, text.default_lemmas(spark), stemmed=True), found, tops, digits)
         return out if k is None else out.where(F.col("rank") < k)
-    return score.search(terms_of(queries, sets, thesaurus, text.default_lemmas(spark)), found, k)
+    return score.search(terms_of(queries, sets, thesaurus, text.default_lemmas(spark)), found, k, digits)
 
 
-def search_files(spark: SparkSession, index_path: str, query_path: str, out_path: str, mode: str = "ranked") -> None:
+def search_files(spark: SparkSession, index_path: str, query_path: str, out_path: str, mode: str = "ranked", digits: int | None = None) -> None:
     """Ranked ids of each query file as a line of text; an invalid query's file has no bytes."""
     queries = queryparse.parse(corpus.read_queries(spark, query_path))
     valid = queries.where("type <> 'invalid'").select("query_id", "query")
-    lines = corpus.result_lines(search(valid, index.load(spark, index_path), mode=mode))
+    lines = corpus.result_lines(search(valid, index.load(spark, index_path), mode=mode, digits=digits))
     full = valid.select("query_id").join(lines, "query_id", "left").select("query_id", F.coalesce("line", F.lit("")).alias("line"))
     full.write.mode("overwrite").partitionBy("query_id").text(out_path)
     for row in queries.where("type = 'invalid'").select("query_id").toLocalIterator():

@@ -30,6 +30,7 @@ QUERIES = [
 ]
 PLAIN = [("q1", "quiet phone call"), ("q2", "good grades exchange scandal"), ("q3", "fertility treatment damages"), ("q4", "fraud fraud IVF ivf")]
 THESAURUS = [("big", "a", 1, "large"), ("big", "a", 1, "big"), ("big", "a", 2, "great"), ("big", "a", 3, "large"), ("big", "a", 4, "phone_call"), ("big", "a", 5, "AND"), ("big", "a", 6, "huge"), ("big", "a", 7, "vast"), ("run", "v", 1, "race"), ("run", "n", 1, "streak")]
+UNKNOWN = [("t1", "big run phone"), ("t2", "big big unknown fraud")]
 WORDS = [("big", "a"), ("run", "v"), ("unknown", "n")]
 RANKED = ["the", "the", "la", "der", "tion", "absent-word"]
 AND_QUERY, PHRASE_QUERY, MIXED_QUERY = "the AND of", '"of the"', '"of the" AND in AND "to the"'
