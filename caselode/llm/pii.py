@@ -31,6 +31,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from caselode.functions.arrays import let
 from caselode.llm import spans as S
 from caselode.llm.shared import stored
 
@@ -106,7 +107,7 @@ def features(m: Column, shape: int) -> Column:
         return packed.cast("int")
 
     made = F.struct(F.length(only_digits(m["hit"])).alias("digits"), F.regexp_replace(m["hit"], r"[^ ().\-\[\]]", "").alias("seps"), F.lower(m["before"]).alias("before"), m["after"].alias("after"))
-    return S.let(made, vector)
+    return let(made, vector)
 
 
 def find_candidates(docs: DataFrame, text: str = "text", p: str = "__pii_") -> DataFrame:

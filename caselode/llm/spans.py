@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from caselode.functions.arrays import let
+
 SPAN = "array<struct<start:bigint,ord:int,end:bigint>>"
 MATCH = "array<struct<start:bigint,end:bigint,hit:string,part:string,before:string,after:string>>"
 GROUP = 128
@@ -22,11 +24,6 @@ def none(kind: str) -> Column:
     return F.array().cast(kind)
 
 
-def let(value: Column, body) -> Column:
-    """body(value), with the value computed once however often the body names it, in lambdas also."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def grouped(items: Column) -> Column:
     """Consecutive groups of ``GROUP`` elements; none for an empty array."""
     some = F.sequence(F.lit(0), F.floor((F.size(items) - 1) / GROUP).cast("int"))
