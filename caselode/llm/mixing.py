@@ -113,7 +113,7 @@ def block_words(total: int) -> int:
     return max(1, min(LARGEST_BLOCK, total // BLOCKS))
 
 
-def schedule(spark: SparkSession, per_source: DataFrame, total: int, words: int, share: float = SHARE, slots_per_chunk: int = 1 << 16) -> DataFrame:
+def schedule(spark: SparkSession, per_source: DataFrame, total: int, words: int, share: float = SHARE, slots_per_chunk: int = 1 << 12) -> DataFrame:
     """(slot, skey, rank, block, pass, words): the order in which blocks are read.
 
     The points come from a distributed range and fall on the sources' intervals by sorting both.  Ranks
