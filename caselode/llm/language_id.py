@@ -111,8 +111,12 @@ class Model:
         self.dense = None
         if base * self.width <= DENSE:
             lang = np.searchsorted(self.roots, np.arange(base), side="right") - 1
-            begins, to = self.advance(np.repeat(lang, self.width), np.repeat(np.arange(base), self.width), np.tile(np.arange(self.width), base))
-            self.dense = (2 * to + begins).astype(np.int32)
+            made, each = np.empty(base * self.width, dtype=np.int32), 2048  # in stretches of states, for the sake of memory
+            for a in range(0, base, each):
+                b = min(base, a + each)
+                begins, to = self.advance(np.repeat(lang[a:b], self.width), np.repeat(np.arange(a, b), self.width), np.tile(np.arange(self.width), b - a))
+                made[a * self.width : b * self.width] = 2 * to + begins
+            self.dense = made
         self.look = np.zeros(sys.maxunicode + 1, dtype=np.int32)
         for cp in range(sys.maxunicode + 1):
             c = chr(cp)
