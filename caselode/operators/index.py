@@ -66,6 +66,12 @@ def forward(zoned: DataFrame, lemmas: DataFrame | None = None, positions: bool =
     return zoned.select(*keep).join(held, "zone_doc_id", "left").select(*keep, F.coalesce("terms", F.array().cast(kind)).alias("terms"))
 
 
+def by_document(cases: DataFrame, terms: list[str] | None = None) -> DataFrame:
+    """(document_id, importance, c, t): the terms of both zones with tf, of ``terms`` only if given; narrow."""
+    made = {z: runs(text.tokens(F.col(c)), False, terms).alias(z) for z, c in (("c", "content"), ("t", "title"))}
+    return cases.select("document_id", text.importance(F.col("court")).alias("importance"), made["c"], made["t"])
+
+
 def unrolled(held: DataFrame) -> DataFrame:
     """Postings of a forward table: (term, zone_doc_id, document_id, zone, importance, tf[, positions])."""
     keep = ["zone_doc_id", "document_id", "zone", "importance"]

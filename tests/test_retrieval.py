@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from caselode.functions import fixed, text, weighting
+from caselode.functions import fixed, text, topk, weighting
 from caselode.operators import boolean, evaluate, expand, feedback, index, queryparse, score
 from caselode.plans import oracles, queries, retrieval, workloads
 from caselode.sources import corpus
@@ -212,3 +212,21 @@ def test_forward_rows_equal_grouped_postings(spark, monkeypatch):
         assert sorted((r["zone_doc_id"], r["term"], r["tf"], tuple(r["positions"])) for r in index.unrolled(held).collect()) == want
         lengths = {r["zone_doc_id"]: r["doc_length"] for r in index.weights(held).collect()}
         assert lengths["1.c"] == 0 and lengths["1.t"] == pytest.approx((2 * (1 + math.log10(2)) ** 2 + 2) ** 0.5)
+
+
+def test_documents_searched_in_their_rows(spark, monkeypatch):
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice("abcdefgh") for _ in range(rng.randrange(9))) + "\n" + " ".join(rng.choice("abcdefghijk") for _ in range(rng.randrange(30))) for _ in range(60)]
+    docs = [(i, (texts * 5)[i], rng.choice(["src0", "src7", "src19"])) for i in range(300)]
+    cases = index.searchable(corpus.cases_from_documents(spark.createDataFrame(docs, "doc_id long, text string, source string"))).repartition(3)
+    asked = spark.createDataFrame([(f"q{i}", w, 1 + i % 3) for i in range(9) for w in rng.sample("abcdefghijkz", 4)], "query_id string, term string, qtf long")
+    want = sorted(map(tuple, score.search(asked, index.build(cases), 7, 6).collect()))
+    monkeypatch.setattr(topk, "HELD", 150)
+    monkeypatch.setattr(topk, "CANDIDATES", 100)
+    for terms in (None, list("abcdefghijkz")):
+        held = corpus.stored(index.by_document(cases, terms))
+        assert sorted(map(tuple, score.search_documents(asked, held, 7, 6).collect())) == want
+    copies = index.by_document(cases.where("document_id % 60 = 0").unionAll(cases.where("document_id % 60 = 0")), None).withColumn("multiplier", F.lit(1.0))
+    found = topk.best(iter(copies.toArrow().to_batches()), ["a"], topk.np.array([0, 1]), topk.np.array([0]), topk.np.array([1.0]), ["q"], 2, 2e-6, 0.8, 0.2)
+    assert sum(b.num_rows for b in found) <= 2
+    assert score.search_documents(asked.where("false"), held, 7, 6).count() == 0
