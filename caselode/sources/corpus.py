@@ -31,9 +31,9 @@ def read_cases(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_cases(cases: DataFrame, path: str) -> None:
-    """Case files as ``read_cases`` reads them; what has no date has an empty one."""
+    """Case files as ``read_cases`` reads them, blanks and control characters at a field's ends among the rest; what has no date has an empty one."""
     dated = cases.withColumn("date_posted", F.lit("")).select("document_id", "title", "content", "date_posted", "court")
-    dated.write.mode("overwrite").option("header", True).option("quoteAll", True).option("quote", '"').option("escape", '"').option("encoding", "UTF-8").csv(path)
+    dated.write.mode("overwrite").option("header", True).option("quoteAll", True).option("quote", '"').option("escape", '"').option("encoding", "UTF-8").option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
 def cases_from_documents(docs: DataFrame) -> DataFrame:

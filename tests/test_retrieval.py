@@ -230,3 +230,11 @@ def test_documents_searched_in_their_rows(spark, monkeypatch):
     found = topk.best(iter(copies.toArrow().to_batches()), ["a"], topk.np.array([0, 1]), topk.np.array([0]), topk.np.array([1.0]), ["q"], 2, 2e-6, 0.8, 0.2)
     assert sum(b.num_rows for b in found) <= 2
     assert score.search_documents(asked.where("false"), held, 7, 6).count() == 0
+
+
+def test_case_files_keep_blanks_and_control_characters(spark, tmp_path):
+    odd = ["plain", " lead", "trail ", "\ttab\t", "  ", "a\nb\n", "\r\n", "\r", "a\r\nb", "\n\nx", "\x00a", "\x00", "\x01", ' "q" ', '"', "a\\", ",", "", None]
+    docs = corpus.cases_from_documents(spark.createDataFrame(list(enumerate(odd)), "doc_id long, text string").withColumn("source", F.lit("src3")))
+    corpus.write_cases(docs, str(tmp_path))
+    got = corpus.read_cases(spark, str(tmp_path)).select(*docs.columns)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, docs.collect()))
