@@ -26,7 +26,7 @@ def runs(terms: Column, positions: bool = True, only: list[str] | None = None) -
         def cut(starts):
             def one(a, k):
                 n = F.coalesce(F.get(starts, k + 1), F.size(s)) - a
-                extra = [F.transform(F.slice(s, a + 1, n), lambda x: x["pos"]).alias("positions")] if positions else []
+                extra = [F.transform(F.sequence(a, a + n - 1), lambda i: F.get(s, i)["pos"]).alias("positions")] if positions else []
                 return F.struct(F.get(s, a)["term"].alias("term"), n.cast("long").alias("tf"), *extra)
 
             return F.transform(starts, one)

@@ -4,6 +4,9 @@ A zone's terms, frequencies, positions, length and top terms all lie in its own
 there, by sorting the row's tokens (``forward``), and no corpus is shuffled for them.  What is
 shuffled are document frequencies, after map-side combination, and postings once, when ``save`` sorts them
 by term.  A lexicon too large for a map is joined to tokens; only then are postings grouped.
+
+Arrays are exploded as outer ones and empty rows dropped behind that: for an inner explode the optimizer
+infers a filter on the array's size, in which the whole expression that makes the array is computed once more.
 """
 
 from __future__ import annotations
@@ -44,8 +47,8 @@ def tokens(zoned: DataFrame, lemmas: DataFrame | None = None, terms: list[str] |
     keep = ["document_id", "zone", "zone_doc_id", "importance"]
     if terms is not None and (lemmas is None or lookup is not None):
         at = F.transform(made, lambda t, i: F.struct(i.alias("pos"), t.alias("term")))
-        return zoned.select(*keep, F.explode(F.filter(at, lambda x: x["term"].isin(*terms))).alias("x")).select(*keep, "x.pos", "x.term")
-    out = zoned.select(*keep, F.posexplode(made).alias("pos", "surface"))
+        return zoned.select(*keep, F.explode_outer(F.filter(at, lambda x: x["term"].isin(*terms))).alias("x")).where("x is not null").select(*keep, "x.pos", "x.term")
+    out = zoned.select(*keep, F.posexplode_outer(made).alias("pos", "surface")).where("pos is not null")
     out = out.withColumnRenamed("surface", "term") if lemmas is None or lookup is not None else text.lemmatized(out, lemmas).drop("surface")
     return out if terms is None else out.where(F.col("term").isin(*terms))
 
@@ -75,12 +78,12 @@ def by_document(cases: DataFrame, terms: list[str] | None = None) -> DataFrame:
 def unrolled(held: DataFrame) -> DataFrame:
     """Postings of a forward table: (term, zone_doc_id, document_id, zone, importance, tf[, positions])."""
     keep = ["zone_doc_id", "document_id", "zone", "importance"]
-    return held.select(*keep, F.explode("terms").alias("x")).select("x.term", *keep, *["x." + f.name for f in held.schema["terms"].dataType.elementType.fields[1:]])
+    return held.select(*keep, F.explode_outer("terms").alias("x")).where("x is not null").select("x.term", *keep, *["x." + f.name for f in held.schema["terms"].dataType.elementType.fields[1:]])
 
 
 def document_frequencies(zoned: DataFrame) -> DataFrame:
     """(term, df), counted from each zone's different terms."""
-    return zoned.select(F.explode(F.array_distinct(text.tokens(F.col("text")))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    return zoned.select(F.explode_outer(F.array_distinct(text.tokens(F.col("text")))).alias("term")).where("term is not null").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
 def postings(toks: DataFrame, positions: bool = True) -> DataFrame:
@@ -110,7 +113,7 @@ def top_of(terms: Column, k: int = fixed.FEEDBACK_TERMS, stopwords=fixed.STOPWOR
 
 def top_terms(held: DataFrame, k: int = fixed.FEEDBACK_TERMS, stopwords=fixed.STOPWORDS) -> DataFrame:
     """(zone_doc_id, term, tf, place) of a forward table, places from 1."""
-    out = held.select("zone_doc_id", F.posexplode(top_of(F.col("terms"), k, stopwords)).alias("at", "x"))
+    out = held.select("zone_doc_id", F.posexplode_outer(top_of(F.col("terms"), k, stopwords)).alias("at", "x")).where("at is not null")
     return out.select("zone_doc_id", "x.term", "x.tf", (F.col("at") + 1).alias("place"))
 
 

@@ -71,7 +71,7 @@ def postings_tf(spark, sf_dir):
 
 def positional_postings(spark, sf_dir):
     got = posts(spark, sf_dir, True)
-    return got.select("term", "zone_doc_id", "tf", F.array_join(F.transform("positions", lambda p: p.cast("string")), ",").alias("positions"))
+    return got.select("term", "zone_doc_id", "tf", F.array_join(F.col("positions").cast("array<string>"), ",").alias("positions"))
 
 
 def doc_freq_idf(spark, sf_dir):
@@ -223,7 +223,7 @@ def relevance_rank(spark, sf_dir):
 def duplicate_postings(spark, sf_dir):
     rows = spark.createDataFrame(L.ARRIVALS, "arrival int, term string, zone_doc_id string, pos int")
     got = index.strict_postings(rows, "arrival")
-    return got.select("term", F.col("posting").cast("long").alias("posting"), "zone_doc_id", "tf", F.array_join(F.transform("positions", lambda p: p.cast("string")), ",").alias("positions"))
+    return got.select("term", F.col("posting").cast("long").alias("posting"), "zone_doc_id", "tf", F.array_join(F.col("positions").cast("array<string>"), ",").alias("positions"))
 
 
 def porter_stems(spark, sf_dir):
@@ -267,7 +267,7 @@ def index_lookup(spark, sf_dir):
     found = index.load(spark, saved(spark, sf_dir))
     rows = [index.lookup(found, t) for t in L.LOOKUPS]
     out = rows[0].unionByName(rows[1]).unionByName(rows[2])
-    return out.select("term", "zone_doc_id", "tf", "df", F.array_join(F.transform("positions", lambda p: p.cast("string")), ",").alias("positions"))
+    return out.select("term", "zone_doc_id", "tf", "df", F.array_join(F.col("positions").cast("array<string>"), ",").alias("positions"))
 
 
 def saved_search(spark, sf_dir, mode: str) -> DataFrame:
