@@ -240,7 +240,7 @@ def test_case_files_keep_blanks_and_control_characters(spark, tmp_path):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, docs.collect()))
 
 
-@pytest.mark.parametrize("name", ["positional_postings"])
+@pytest.mark.parametrize("name", ["positional_postings", "postings_tf"])
 def test_texts_are_tokenised_once(spark, name):
     plan = queries.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_extract_all") == 1
