@@ -20,6 +20,10 @@ from pyspark.sql import functions as F
 from caselode.functions import fixed, text
 from caselode.functions.arrays import runs
 from caselode.functions.weighting import tf_log
+from caselode.sources import corpus
+
+#: Bytes of the forward table whose postings one task sorts, about ten times as many in memory.
+RANGE_BYTES = 8 << 20
 
 
 def searchable(cases: DataFrame) -> DataFrame:
@@ -159,13 +163,21 @@ def build(cases: DataFrame, lemmas: DataFrame | None = None, feedback: bool = Fa
 def save(index: Index, path: str) -> None:
     """Postings sorted by term, so that a term's row groups are found by their statistics.
 
-    The corpus is tokenised once, into the forward table; all others are made from that.
+    The corpus is tokenised once, into the forward table; all others are made from that.  Postings are
+    shuffled without what their zone's id and positions tell, into so many ranges that no task's sort spills.
     """
     spark = index.forward.sparkSession
     index.forward.write.mode("overwrite").parquet(f"{path}/forward")
     held = spark.read.parquet(f"{path}/forward")
     weights(held, "top_terms" in index.doc_weights.columns).write.mode("overwrite").parquet(f"{path}/doc_weights")
-    unrolled(held).repartitionByRange("term", "zone_doc_id").sortWithinPartitions("term", "zone_doc_id").write.mode("overwrite").parquet(f"{path}/postings")
+    system, at = corpus.files(spark, f"{path}/forward")
+    ranges = -(-system.getContentSummary(at).getLength() // RANGE_BYTES)
+    many = [ranges] if ranges > int(spark.conf.get("spark.sql.shuffle.partitions")) else []
+    ordered = unrolled(held).select("term", "zone_doc_id", "importance", "positions").repartitionByRange(*many, "term", "zone_doc_id").sortWithinPartitions("term", "zone_doc_id")
+    zone_id = F.col("zone_doc_id")
+    document_id = F.when(F.length(zone_id) > 1, F.left(zone_id, F.length(zone_id) - 2))  # zones have names of one letter; without an id there is no dot
+    full = ordered.select("term", zone_id, document_id.alias("document_id"), F.right(zone_id, F.lit(1)).alias("zone"), "importance", F.size("positions").cast("long").alias("tf"), "positions")
+    full.write.mode("overwrite").parquet(f"{path}/postings")
     dictionary(spark.read.parquet(f"{path}/postings")).repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/dictionary")
 
 

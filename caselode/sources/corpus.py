@@ -12,6 +12,8 @@ from caselode.functions import fixed
 
 #: By position; everything is a string, ids too.
 CSV_SCHEMA = "document_id string, title string, content string, date_posted string, court string"
+#: Rows of a written case file: a file with line breaks in its fields is read by one task.
+FILE_ROWS = 20_000
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -33,7 +35,7 @@ def read_cases(spark: SparkSession, path: str) -> DataFrame:
 def write_cases(cases: DataFrame, path: str) -> None:
     """Case files as ``read_cases`` reads them, blanks and control characters at a field's ends among the rest; what has no date has an empty one."""
     dated = cases.withColumn("date_posted", F.lit("")).select("document_id", "title", "content", "date_posted", "court")
-    dated.write.mode("overwrite").option("header", True).option("quoteAll", True).option("quote", '"').option("escape", '"').option("encoding", "UTF-8").option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+    dated.write.mode("overwrite").option("header", True).option("quoteAll", True).option("quote", '"').option("escape", '"').option("encoding", "UTF-8").option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).option("maxRecordsPerFile", FILE_ROWS).csv(path)
 
 
 def cases_from_documents(docs: DataFrame) -> DataFrame:

@@ -256,3 +256,14 @@ def test_phrases_are_matched_without_a_row_for_each_occurrence(spark):
     want = {(c, r[2]): n for c, p in enumerate(phrases) for r in rows if (n := sum(r[3].split()[i : i + len(p.split())] == p.split() for i in range(len(r[3].split()))))}
     assert {(r["clause"], r["zone_doc_id"]): r["freq"] for r in found.collect()} == want
     assert "explode(positions" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_postings_are_sorted_in_ranges_that_follow_the_input(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(index, "RANGE_BYTES", 512)
+    docs = [(i, f"title {i}\nbody of {i} and of {i * 7} here", "src1") for i in range(200)]
+    made = index.build(index.searchable(corpus.cases_from_documents(spark.createDataFrame(docs, "doc_id long, text string, source string"))))
+    index.save(made, str(tmp_path))
+    assert len(list((tmp_path / "postings").glob("part-*.parquet"))) > int(spark.conf.get("spark.sql.shuffle.partitions"))
+    names = ["term", "zone_doc_id", "document_id", "zone", "importance", "tf", "positions"]
+    saved = index.load(spark, str(tmp_path)).postings
+    assert saved.columns == names and sorted(map(repr, saved.collect())) == sorted(map(repr, made.postings.select(*names).collect()))
