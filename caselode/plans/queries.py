@@ -276,7 +276,7 @@ def saved_search(spark, sf_dir, mode: str) -> DataFrame:
     queries, out = f"{folder}-queries-{uuid.uuid4().hex}", f"{folder}-results-{uuid.uuid4().hex}"
     corpus.write_queries(spark, L.SEARCHED, queries)
     retrieval.search_files(spark, folder, queries, out, mode, 6)
-    lines = spark.read.text(out).select(F.col("query_id").cast("string").alias("query_id"), F.posexplode(F.filter(F.split("value", " "), lambda x: x != "")).alias("rank", "document_id"))
+    lines = spark.read.text(out).select(F.col("query_id").cast("string").alias("query_id"), F.posexplode_outer(F.filter(F.split("value", " "), lambda x: x != "")).alias("rank", "document_id")).where("rank is not null")
     return lines.select("query_id", F.col("rank").cast("long").alias("rank"), "document_id")
 
 
