@@ -12,8 +12,8 @@ A document's first slot is the one that reads its first word; sorting by it give
 Native: DataFrame functions only.  Nothing runs over a source in one task: prefix sums and ranks are
 made in two levels, inside hash-range chunks (one for every ``CHUNK_ROWS`` rows of the table) and
 over the chunks' totals, so a source with a third of all rows spreads over all tasks.  Running sums
-over the sources, and the meeting of points and intervals, work the same way over value ranges
-(``before_each``, ``last_before``), so the sources may be many, too.
+over more than ``FEW_SOURCES`` sources, and the meeting of points and intervals, work the same way over
+value ranges (``before_each``, ``last_before``), so the sources may be many, too.
 
 Defined cases: null and empty texts have size 0 and are never taken; the null source is a source,
 last in order; equal rows are interchangeable; an empty table gives an empty schedule; extra columns
@@ -33,6 +33,8 @@ WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2
 GOLDEN = 0.6180339887498949
 CHUNK_ROWS = 5_000
 LARGEST_BLOCK, BLOCKS = 1024, 65536
+#: So many sources' totals are summed up in one task; more in value ranges.
+FEW_SOURCES = 10_000
 WORD = r"[^ \t-\r]+"
 
 
@@ -51,8 +53,11 @@ def ranges(df: DataFrame, *order) -> DataFrame:
     return checkpointed(df.repartitionByRange(*order).withColumn("range", F.spark_partition_id()))
 
 
-def before_each(df: DataFrame, order: list[str], sums: dict[str, str]) -> DataFrame:
-    """``df`` with running sums of what comes before each row: name -> SQL of the value.  Two levels, no single task."""
+def before_each(df: DataFrame, order: list[str], sums: dict[str, str], few: bool = False) -> DataFrame:
+    """``df`` with running sums of what comes before each row: name -> SQL of the value.  Two levels, no single task, unless the rows are few."""
+    if few:
+        before = W.partitionBy(F.lit(0)).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)  # FEW_SOURCES rows at most
+        return df.withColumns({n: F.coalesce(F.sum(F.expr(v)).over(before), F.lit(0)) for n, v in sums.items()})
     dealt = ranges(df, *order)
     totals = dealt.groupBy("range").agg(*[F.sum(F.expr(v)).alias(n) for n, v in sums.items()])
     earlier = W.partitionBy(F.lit(0)).orderBy("range").rowsBetween(W.unboundedPreceding, -1)  # a row per range
@@ -74,17 +79,23 @@ def last_before(points: DataFrame, starts: DataFrame, at: str, name: str) -> Dat
     return found.where("kind = 1").drop(name, "kind", "range", "base").withColumnRenamed("found", name)
 
 
+def of_sources(rows: DataFrame, per: DataFrame, few: bool) -> DataFrame:
+    """``rows`` with their source's columns; few sources are broadcast, so that no source's rows meet in one task."""
+    return rows.join(F.broadcast(per) if few else per, "skey")
+
+
 def targets(sized: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
     """(skey, source_size, source_rows, weight, target) per source, by water-filling in closed form.
 
     Sorted by capacity over weight, a source is capped exactly when its capacity does not exceed its
     weight's part of what the sources before it leave.
     """
-    per = sized.groupBy("skey").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("source_rows"))
-    per = before_each(per, ["skey"], {"place": "1"})
+    per = checkpointed(sized.groupBy("skey").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("source_rows")))
+    few = per.count() <= FEW_SOURCES
+    per = before_each(per, ["skey"], {"place": "1"}, few)
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod("place", F.lit(len(weights))) + 1).cast("int"))
     per = per.withColumn("weight", weight).withColumn("cap", F.col("source_size") * F.lit(float(most))).withColumn("ratio", F.col("cap") / F.col("weight"))
-    per = before_each(per, ["ratio", "skey"], {"caps": "cap", "weights": "weight"})
+    per = before_each(per, ["ratio", "skey"], {"caps": "cap", "weights": "weight"}, few)
     whole = per.agg(F.sum("source_size").alias("all_words"), F.sum("weight").alias("all_weights"))  # one row
     level = (F.col("all_words") * F.lit(share) - F.col("caps")) / (F.col("all_weights") - F.col("weights"))
     per = per.join(F.broadcast(whole)).withColumn("level", level).withColumn("capped", F.col("cap") <= F.col("level") * F.col("weight"))
@@ -123,9 +134,9 @@ def schedule(spark: SparkSession, per_source: DataFrame, total: int, words: int,
     need = per_source.where(F.col("target") > 0).select("skey", "source_size", "target", F.round("target").cast("long").alias("take"))
     need = need.withColumn("blocks", F.ceil(F.col("source_size") / words)).withColumn("passes", F.floor(F.col("take") / F.col("source_size"))).withColumn("rest", F.col("take") - F.col("passes") * F.col("source_size"))
     need = need.withColumn("slots", F.col("passes") * F.col("blocks") + F.ceil(F.col("rest") / words))
-    need = checkpointed(need)
-    whole = need.agg(F.sum("target").alias("whole")).first()["whole"] or 1.0
-    low = before_each(need.select("skey", "target"), ["skey"], {"below": "target"}).select((F.col("below") / F.lit(whole)).alias("point"), "skey")
+    sums = need.agg(F.sum("target").alias("whole"), F.count(F.lit(1)).alias("sources")).first()
+    whole, few = sums["whole"] or 1.0, sums["sources"] <= FEW_SOURCES
+    low = before_each(need.select("skey", "target"), ["skey"], {"below": "target"}, few).select((F.col("below") / F.lit(whole)).alias("point"), "skey")
     n = int(total * share // words) + 1
     slots = spark.range(n).select(F.col("id").alias("slot"), F.pmod((F.col("id") + 1) * F.lit(GOLDEN), F.lit(1.0)).alias("point"))
     drawn = last_before(slots, low, "point", "skey").where("skey is not null").select("slot", "skey", F.floor(F.col("slot") / slots_per_chunk).alias("chunk"))
@@ -137,12 +148,16 @@ def schedule(spark: SparkSession, per_source: DataFrame, total: int, words: int,
     lacking = need.join(made, "skey", "left").withColumn("drawn", F.coalesce("drawn", F.lit(0))).where(F.col("drawn") < F.col("slots"))
     short = lacking.select("skey", F.explode(F.sequence(F.col("drawn"), F.col("slots") - 1)).alias("rank")).select((F.col("rank") + n).alias("slot"), "skey", "rank")
     keep = need.select("skey", "source_size", "blocks", "passes", "rest", "slots")
-    out = ranked.unionByName(short).join(keep, "skey").where(F.col("rank") < F.col("slots"))
+    out = of_sources(ranked.unionByName(short), keep, few).where(F.col("rank") < F.col("slots"))
     block = F.pmod(F.col("rank"), F.col("blocks"))
     end = F.when(F.col("rank") >= F.col("passes") * F.col("blocks"), F.col("rest")).otherwise(F.col("source_size"))
     return out.select("slot", "skey", "rank", block.alias("block"), F.floor(F.col("rank") / F.col("blocks")).alias("pass"), F.least(F.lit(words), end - block * words).alias("words"))
 
 
+def sizes(docs: DataFrame, text: str, source: str, key: str) -> DataFrame:
+    return checkpointed(docs.select(F.col(key).alias("key"), size_of(F.col(text)).alias("size"), source_key(F.col(source)).alias("skey")))
+
+
 def mix(docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", *, weights=WEIGHTS, share: float = SHARE, most: int = MOST, chunk_rows: int = CHUNK_ROWS) -> tuple[DataFrame, DataFrame]:
     """((key, skey, size, taken, first_slot, source_size, target) per document; the schedule of slots).
 
@@ -150,13 +165,15 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", key: str =
     carry keys and numbers.  One small action reads the sum of sizes to fix the block size.
     """
     spark = docs.sparkSession
-    sized = checkpointed(docs.select(F.col(key).alias("key"), size_of(F.col(text)).alias("size"), source_key(F.col(source)).alias("skey")))
-    return mix_sized(spark, sized, weights, share, most, chunk_rows)
+    sized = sizes(docs, text, source, key)
+    taken, plan, per, few = mix_sized(spark, sized, weights, share, most, chunk_rows)
+    return of_sources(taken, per, few), plan
 
 
-def mix_sized(spark: SparkSession, sized: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST, chunk_rows: int = CHUNK_ROWS) -> tuple[DataFrame, DataFrame]:
+def mix_sized(spark: SparkSession, sized: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST, chunk_rows: int = CHUNK_ROWS) -> tuple[DataFrame, DataFrame, DataFrame, bool]:
+    """(key, skey, size, taken, first_slot), the schedule, (skey, source_size, target), whether the sources are few."""
     per = checkpointed(targets(sized, weights, share, most))  # a row per source
-    whole = per.agg(F.sum("source_size").alias("words"), F.sum("source_rows").alias("rows")).first()
+    whole = per.agg(F.sum("source_size").alias("words"), F.sum("source_rows").alias("rows"), F.count(F.lit(1)).alias("sources")).first()
     total, rows = int(whole["words"] or 0), int(whole["rows"] or 0)
     words = block_words(total)
     plan = schedule(spark, per, total, words, share)
@@ -173,18 +190,22 @@ def mix_sized(spark: SparkSession, sized: DataFrame, weights=WEIGHTS, share: flo
     taken = got.groupBy("key", "skey", "size", "begin").agg(F.sum("part").alias("taken"), F.min(F.when(F.col("part") > 0, F.col("slot"))).alias("first_slot"))
     empty = sized.where("size = 0").select("key", "skey", "size", F.lit(0).cast("long").alias("taken"), F.lit(None).cast("long").alias("first_slot"))
     taken = taken.select("key", "skey", "size", "taken", "first_slot").unionByName(empty)
-    return taken.join(per.select("skey", "source_size", "target"), "skey"), plan
+    return taken, plan, per.select("skey", "source_size", "target"), whole["sources"] <= FEW_SOURCES
 
 
 def take(docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", **options) -> DataFrame:
     """The rows of ``docs`` of which the mixture takes words, with mix_size, mix_target, mix_taken and mix_slot, in slot order.
 
-    Rows with the same key have the same hash, and are told apart by size; equal rows may swap.
+    Rows with the same key have the same hash, and are told apart by size; equal rows may swap.  Texts are
+    counted a second time only where a key has several sizes.
     """
     p = "__mix_"
-    taken, _ = mix(docs.select(F.col(text).alias("text"), F.col(source).alias("source"), F.col(key).alias("doc_id")), **options)
-    per = taken.where("taken > 0").groupBy("key", "skey", "size").agg(F.max("target").alias("target"), F.max("taken").alias("taken"), F.min("first_slot").alias("slot"))
+    taken, _, sources, few = mix_sized(docs.sparkSession, sizes(docs, text, source, key), **options)
+    per = taken.groupBy("key", "skey", "size").agg(F.max("taken").alias("taken"), F.min("first_slot").alias("slot"))
+    per = per.withColumn("sizes", F.count(F.lit(1)).over(W.partitionBy("key", "skey"))).where("taken > 0")  # a row per size of a key
+    per = of_sources(per, sources, few)
     per = per.select(*[F.col(c).alias(p + c) for c in per.columns])
-    on = F.col(key).eqNullSafe(F.col(p + "key")) & (source_key(F.col(source)) == F.col(p + "skey")) & (size_of(F.col(text)) == F.col(p + "size"))
+    same = (F.col(p + "sizes") == 1) | (size_of(F.col(text)) == F.col(p + "size"))
+    on = F.col(key).eqNullSafe(F.col(p + "key")) & (source_key(F.col(source)) == F.col(p + "skey")) & same
     made = [F.col(p + c).alias("mix_" + c) for c in ("size", "target", "taken", "slot")]
     return docs.join(per, on).orderBy(p + "slot", F.col(p + "key")).select(*docs.columns, *made)

@@ -362,6 +362,22 @@ def test_mixing_of_very_many_sources(spark):
     assert by_id((r["key"], r["size"], r["source_size"], r["taken"]) for r in taken) == by_id((d, n, s, k) for d, n, s, _, k in plain.mix(rows))
 
 
+def test_mixing_sums_few_sources_without_stored_ranges_and_counts_texts_once(spark, monkeypatch):
+    rows = [(i // 10, "w " * (7 * i % 31), f"s{i % 5}") for i in range(120)] + [(None, "x " * n, "s1") for n in (0, 3, 8)]
+    frame = spark.createDataFrame(rows, DOCS + ", source string")
+    made, stored = [], mixing.checkpointed
+    monkeypatch.setattr(mixing, "checkpointed", lambda df: made.append(1) or stored(df))
+    full = mixing.take(frame, chunk_rows=7)
+    assert len(made) == 4
+    got = full.collect()
+    assert by_id((r["doc_id"], r["mix_size"], r["mix_taken"]) for r in got) == by_id((d, n, k) for d, n, _, _, k in plain.mix(rows) if k)
+    assert all(r["mix_size"] == len(r["text"].split()) for r in got)
+    join = re.findall(r"Join Inner.*", full._jdf.queryExecution().optimizedPlan().toString())[0]
+    assert re.search(r"__mix_sizes#\d+L = 1\) OR", join)
+    monkeypatch.setattr(mixing, "FEW_SOURCES", 0)
+    assert by_id(map(tuple, mixing.take(frame, chunk_rows=7).collect())) == by_id(map(tuple, got))
+
+
 def test_running_sums_and_intervals_over_ranges(spark):
     rng = random.Random(13)
     values = [(rng.randrange(500), rng.randrange(9)) for _ in range(400)]
