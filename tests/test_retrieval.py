@@ -2,11 +2,12 @@
 
 import math
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
-from caselode.functions import fixed, text, topk, weighting
+from caselode.functions import arrays, fixed, text, topk, weighting
 from caselode.operators import boolean, evaluate, expand, feedback, index, queryparse, score
 from caselode.plans import oracles, queries, retrieval, workloads
 from caselode.sources import corpus
@@ -246,6 +247,18 @@ def test_texts_are_tokenised_once(spark, name):
     assert plan.count("regexp_extract_all") == 1
 
 
+def test_terms_are_sorted_without_structs_where_no_positions_are_asked_for(spark):
+    rows = [(1, ["b", "a", "b", "é", "A", "b"]), (2, []), (3, None), (4, ["x"] * 500), (5, ["", "a", ""])]
+    frame = spark.createDataFrame(rows, "i long, terms array<string>")
+    for only in (None, ["a", "b"]):
+        want = {i: sorted(((t, n) for t, n in Counter(ts or []).items() if only is None or t in only), key=lambda x: x[0].encode()) for i, ts in rows}
+        for positions in (False, True):
+            got = frame.select("i", arrays.runs(F.col("terms"), positions, only).alias("r"))
+            assert {r["i"]: [(x["term"], x["tf"]) for x in r["r"]] for r in got.collect()} == want
+    plan = frame.select(arrays.runs(F.col("terms"), False))._jdf.queryExecution().optimizedPlan().toString()
+    assert ", pos, " not in plan
+
+
 def test_phrases_are_matched_without_a_row_for_each_occurrence(spark):
     rng = random.Random(7)
     rows = [(str(i), "c", f"{i}.c", " ".join(rng.choice("abc") for _ in range(rng.randrange(40))), "L") for i in range(60)]
