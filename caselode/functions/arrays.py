@@ -15,7 +15,7 @@ def runs(terms: Column, positions: bool = True, only: list[str] | None = None) -
     """array<struct<term, tf[, positions]>>: a row's different terms in order, by sorting its terms once.
 
     ``only``, a short list, keeps those terms before anything is sorted.  Without positions the terms
-    themselves are sorted, as structs take several times as long.
+    themselves are sorted, as structs take longer.
     """
     at = F.transform(terms, lambda t, i: F.struct(t.alias("term"), i.alias("pos"))) if positions else terms
 
